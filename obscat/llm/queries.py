@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_fingerprint, rank_bpe
+from . import curriculum_mix, exact_fingerprint, rank_bpe
 from .common import table
 
 
@@ -10,14 +10,20 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_fingerprint.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_curriculum_mix(spark, sf_dir):
+    return curriculum_mix.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op10_rank_bpe(spark, sf_dir):
     return rank_bpe.bpe_digests(table(spark, sf_dir, "documents"), rank_bpe.vocabulary("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_curriculum_mix": op5_curriculum_mix,
     "op10_rank_bpe": op10_rank_bpe,
 }
 ORACLE = {
     "op4_exact_dedup": exact_fingerprint.ORACLE,
+    "op5_curriculum_mix": curriculum_mix.ORACLE,
 }
