@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import curriculum_mix, exact_fingerprint, rank_bpe
+from . import curriculum_mix, exact_fingerprint, rank_bpe, subword_quality
 from .common import table
 
 
+def op2_subword_quality(spark, sf_dir):
+    return subword_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_fingerprint.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,7 @@ def op10_rank_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_subword_quality": op2_subword_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op10_rank_bpe": op10_rank_bpe,
