@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curriculum_mix, exact_fingerprint, rank_bpe, subword_quality
+from . import curriculum_mix, exact_fingerprint, partenum_join, rank_bpe, subword_quality
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_curriculum_mix(spark, sf_dir):
     return curriculum_mix.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_partenum_join(spark, sf_dir):
+    return partenum_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_rank_bpe(spark, sf_dir):
     return rank_bpe.bpe_digests(table(spark, sf_dir, "documents"), rank_bpe.vocabulary("word_bpe_49k.json"))
 
@@ -26,6 +30,7 @@ QUERIES = {
     "op2_subword_quality": op2_subword_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_curriculum_mix": op5_curriculum_mix,
+    "op7_partenum_join": op7_partenum_join,
     "op10_rank_bpe": op10_rank_bpe,
 }
 ORACLE = {
