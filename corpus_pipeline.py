@@ -1,10 +1,90 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before
+it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from obscat.llm import curriculum_mix, exact_fingerprint, partenum_join, rank_bpe, subword_quality
+from obscat.llm.common import ascii_lower, shards, stored, table
+
+#: Near duplicates: shingles of five words, Jaccard similarity of at least 0.8.
+NEAR_WORDS, NEAR_SIMILAR = 5, (80, 100)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it is trained on labels."""
+    return subword_quality.keep_good(docs, subword_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that with the greatest id.
+
+    A repeated row stays once.  Only the ids of rows that go are joined to the
+    documents, and a text's digest is taken only where an id matches.
+    """
+    found = exact_fingerprint.exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
+    sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    same = docs["doc_id"].eqNullSafe(found["_id"]) & (sha == found["_sha"])
+    out = docs.join(found, same, "left_anti")
+    repeated = found.filter("kept")
+    if repeated.limit(1).count():
+        once = docs.join(repeated, same, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+        out = out.unionByName(once)
+    return out
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicate links, that with the smallest id.
+
+    Documents are told apart by id: of rows that share one, all stay if one does.
+    """
+    found = partenum_join.similar_documents(docs, n=NEAR_WORDS, similar=NEAR_SIMILAR)
+    goes = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = stored(found.groupBy(F.col("doc_id").alias("_id")).agg(F.min(goes).alias("goes")).filter("goes").select("_id"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each copy, range-sorted by training position.
+
+    Positions fill [0, 1] evenly, so their ranges need no sampling.  Of rows that
+    share an id, each is taken as the one that is taken most often.
+    """
+    order = curriculum_mix.training_order(curriculum_mix.curriculum_mix(docs), ranked=False)
+    order = order.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.min("position").alias("_at"))
+    order = stored(order)
+    parts = shards(spark)
+    placed = docs.join(order, docs["doc_id"].eqNullSafe(order["_id"]))
+    part = F.least(F.floor(F.col("_at") * parts), F.lit(parts - 1)).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("_at", "_id", "_copy").select(*[docs[c] for c in docs.columns])
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's ids and decoded text."""
+    return rank_bpe.bpe_digests(docs, rank_bpe.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", encoded),
+]
+
+#: The learned classifier has no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through all stages; each result is written before the next stage reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs

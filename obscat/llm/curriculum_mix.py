@@ -95,12 +95,13 @@ def curriculum_mix(docs: DataFrame, *, most: int = MOST, slopes=SLOPES) -> DataF
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", position(fraction, F.col("slope")).alias("position"), "start", "slope")
 
 
-def training_order(mix: DataFrame) -> DataFrame:
-    """One row for each copy of each document, in training order: a range exchange by position."""
+def training_order(mix: DataFrame, *, ranked: bool = True) -> DataFrame:
+    """One row for each copy of each document; if ranked, in training order, a range exchange by position."""
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
     every = mix.filter("copies > 0").select("*", copy)
     fraction = (F.col("start") + F.col("copy") * F.col("source_size")) / F.col("target")
-    return every.withColumn("position", position(fraction, F.col("slope"))).orderBy("position", "doc_id", "copy")
+    every = every.withColumn("position", position(fraction, F.col("slope")))
+    return every.orderBy("position", "doc_id", "copy") if ranked else every
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
