@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curriculum_mix, exact_fingerprint, partenum_join, rank_bpe, subword_quality
+from . import curriculum_mix, exact_fingerprint, partenum_join, prefix_fingerprint, rank_bpe, subword_quality, warc_segments
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op2_subword_quality(spark, sf_dir):
     return subword_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc_segments(spark, sf_dir):
+    return warc_segments.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_fingerprint.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op5_curriculum_mix(spark, sf_dir):
     return curriculum_mix.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_fingerprint(spark, sf_dir):
+    return prefix_fingerprint.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_partenum_join(spark, sf_dir):
     return partenum_join.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -28,12 +36,15 @@ def op10_rank_bpe(spark, sf_dir):
 
 QUERIES = {
     "op2_subword_quality": op2_subword_quality,
+    "op3_warc_segments": op3_warc_segments,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_curriculum_mix": op5_curriculum_mix,
+    "op6_prefix_fingerprint": op6_prefix_fingerprint,
     "op7_partenum_join": op7_partenum_join,
     "op10_rank_bpe": op10_rank_bpe,
 }
 ORACLE = {
+    "op3_warc_segments": warc_segments.ORACLE,
     "op4_exact_dedup": exact_fingerprint.ORACLE,
     "op5_curriculum_mix": curriculum_mix.ORACLE,
 }
