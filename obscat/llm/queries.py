@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import curriculum_mix, exact_fingerprint, partenum_join, prefix_fingerprint, rank_bpe, subword_quality, warc_segments
+from . import curriculum_mix, exact_fingerprint, partenum_join, pii_bootstrap, prefix_fingerprint, rank_bpe, subword_quality, warc_segments
 from .common import table
 
 
+def op1_pii_bootstrap(spark, sf_dir):
+    return pii_bootstrap.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_subword_quality(spark, sf_dir):
     return subword_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op10_rank_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii_bootstrap": op1_pii_bootstrap,
     "op2_subword_quality": op2_subword_quality,
     "op3_warc_segments": op3_warc_segments,
     "op4_exact_dedup": op4_exact_dedup,
