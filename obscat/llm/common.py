@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,17 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(b: pa.RecordBatch, column: int, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about limit bytes of text each; a longer text is a slice of its own."""
+    size = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+    total, first = np.cumsum(size, dtype=np.int64), 0
+    while first < b.num_rows:
+        done = int(total[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + limit, side="right")))
+        yield b.slice(first, last - first)
+        first = last
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

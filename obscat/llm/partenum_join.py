@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULT, KeyFilter, batch, key_filter, mix64, shards, slabs, stored, texts, words
+from .common import MULT, KeyFilter, batch, key_filter, mix64, pieces, shards, slabs, stored, texts, words
 from .components import components
 
 WORDS = 4
@@ -175,11 +175,11 @@ def _entries(sets_of_batch, bands: Bands) -> tuple[np.ndarray, np.ndarray, list]
 def first_pass(docs: DataFrame, *, n: int, bands: Bands, parts: int) -> DataFrame:
     """Rows of two kinds: one for each document, and packed signatures for each shard.
 
-    Entries of shard -1 share their signature with another class of the same batch, which stands for them.
+    Entries of shard -1 share their signature with another class of the same piece of a batch, which stands for them.
     """
 
     def run(batches):
-        for b in batches:
+        for b in (p for b in batches for p in pieces(b, 1)):
             lead, rest, cols = _entries(shingle_sets([t.lower() for t in texts(b.column(1))], n), bands)
             if cols:
                 size, ids, own, cells, later = cols
@@ -235,7 +235,7 @@ def class_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, *, n: int) -
     def run(batches):
         bits, data, bits2, data2 = sent.value
         wanted, kept = KeyFilter(bits, data), KeyFilter(bits2, data2)
-        for b in batches:
+        for b in (p for b in batches for p in pieces(b, 1)):
             ids = b.column(0)
             mask = np.array(ids.is_null().to_numpy(zero_copy_only=False)) | wanted.may_have(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
             rows = [t.lower() for t in texts(b.column(1).filter(pa.array(mask)))]
