@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, curriculum_mix, exact_fingerprint, partenum_join, pii_bootstrap, prefix_fingerprint, rank_bpe, subword_quality, warc_segments
+from . import bloom_lm, curriculum_mix, exact_fingerprint, partenum_join, pii_bootstrap, prefix_fingerprint, rank_bpe, subword_quality, suffix_dedup, warc_segments
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_partenum_join(spark, sf_dir):
     return partenum_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bloom_lm(spark, sf_dir):
     return bloom_lm.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_curriculum_mix": op5_curriculum_mix,
     "op6_prefix_fingerprint": op6_prefix_fingerprint,
     "op7_partenum_join": op7_partenum_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_rank_bpe": op10_rank_bpe,
 }
