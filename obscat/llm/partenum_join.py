@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MULT, KeyFilter, batch, key_filter, mix64, pieces, shards, slabs, stored, texts, words
-from .components import components
+from .components import components, joined
 
 WORDS = 4
 #: Similarity as a fraction of whole numbers.
@@ -312,7 +312,7 @@ def similar_classes(docs: DataFrame, first: DataFrame, classes: DataFrame, *, n:
     across = stored(across.join(stars, ["a", "b"], "left_anti"))
     more = stored(verified(across, sets, similar))
     if more.limit(1).count():
-        labels = stored(components(links.unionByName(more)))
+        labels = stored(joined(labels, more))
     return labels
 
 
