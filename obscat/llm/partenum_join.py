@@ -12,18 +12,18 @@ have partners in the next band signs there as well.  All of this is exact: no
 similar pair is missed.
 
 Equal sets are one class.  A class whose cells that nobody shares outnumber the
-allowed difference has no partner and goes.  The others meet at the least class
-of each signature first (one pair for each member, not all pairs); links found
-there are merged into components, and only pairs across components that still
-share enough cells are looked at afterwards, each from the rarest cells of the
-smaller component's member.  Every candidate is then checked on the sets.
+allowed difference has no partner and goes.  The others meet at one class of each
+signature first (one pair for each member, not all pairs); links found there are
+merged into components.  Two classes of different components that met the same
+class differ from it in common members, and only those pairs are
+looked at afterwards.  Every candidate is then checked on the sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MULT, KeyFilter, batch, key_filter, mix64, pieces, shards, slabs, stored, texts, words
@@ -268,6 +268,50 @@ def verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
+def difference_pairs(met: DataFrame, sets: DataFrame, similar) -> DataFrame:
+    """Pairs (a, b) of classes of different labels that may be similar, out of met(a, b, label).
+
+    Two classes x, y that met the same class c differ by |X| + |Y| - 2 |X & Y|,
+    where X and Y are their symmetric differences from c.  If that is little
+    enough without common members, both are similar to c and of one label.  Else
+    X and Y have so many members in common that the first few of each, in one
+    order, share one: members that c lacks come first, being the rarer ones.
+    """
+    num, den = similar
+    gap = den - num
+    schema = pa.schema([("c", pa.int64()), ("x", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("member", pa.int64())])
+
+    def run(batches):
+        for t in batches:
+            out = []
+            for c, x, label, own, other in zip(*(t.column(k).to_pylist() for k in range(5))):
+                own, other = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+                lacked, lost = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                d = len(lacked) + len(lost)
+                k = gap * len(other) // num  # the most that it may differ from any similar class
+                # least number in common with the difference of a similar class of another label
+                if d * (den + num) > gap * (len(other) + len(own)):  # not similar to c
+                    least = max(d - k, 1)
+                else:  # then the other one is not
+                    least = (d * (den + num) - gap * (len(other) - len(own))) // (2 * (den + num)) + 1
+                first = np.r_[lacked, lost][: max(0, d - least + 1)]
+                out.append((np.full(len(first), c), np.full(len(first), x), np.full(len(first), label), np.full(len(first), len(other)), np.full(len(first), d), first.view(np.int64)))
+            if out:
+                yield batch(schema, *map(np.concatenate, zip(*out)))
+
+    own = sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
+    other = sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
+    rows = met.join(own, "a").join(other, "b").select("a", "b", "label", "set_a", "set_b")
+    rows = stored(rows.mapInArrow(run, "c long, x long, label long, n long, d long, member long"))
+    # only members under which two labels meet
+    busy = rows.groupBy("c", "member").agg(F.min("label").alias("low"), F.max("label").alias("top")).filter("low <> top").select("c", "member")
+    rows = stored(rows.join(stored(busy), ["c", "member"]))
+    left, right = rows, rows.select("c", "member", F.col("x").alias("y"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("d").alias("y_d"))
+    most = F.floor((F.col("n") + F.col("y_n")) * gap / (den + num))
+    near = (F.col("label") < F.col("y_label")) & (F.abs(F.col("d") - F.col("y_d")) <= most) & (F.col("n") * den >= F.col("y_n") * num) & (F.col("y_n") * den >= F.col("n") * num)
+    return left.join(right, ["c", "member"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_classes(docs: DataFrame, first: DataFrame, classes: DataFrame, *, n: int, similar, bands: Bands) -> DataFrame:
     """node, label: the components of similar classes; classes without partner are left out."""
     num, den = similar
@@ -280,10 +324,12 @@ def similar_classes(docs: DataFrame, first: DataFrame, classes: DataFrame, *, n:
     odd = live.filter(F.col("tag") >= _EMPTY).select("cls", (F.col("tag") - _EMPTY).alias("band")).distinct().join(held, ["cls", "band"])
     odd = odd.select("cls", "band", "rep", "n", "k", F.lit(1 << 40).alias("live"), F.lit(0).alias("cells"))
     able = stored(able.unionByName(odd).groupBy("cls", "band", "rep", "n", "k").agg(F.max("live").alias("live"), F.min("cells").alias("cells")))
-    members = live.withColumn("band", F.col("tag") % _EMPTY).join(able.select("cls", "band"), ["cls", "band"], "left_semi").select("sig", "cls", "band")
-    members = stored(members)
-    buckets = stored(members.groupBy("sig").agg(F.min("cls").alias("a"), F.countDistinct("cls").alias("size")).filter("size > 1"))
-    members = stored(members.join(buckets, "sig").select("sig", "cls", "band", "a", "size"))
+    dead = F.greatest(F.col("cells") - F.col("live"), F.lit(0)).alias("dead")
+    members = stored(live.withColumn("band", F.col("tag") % _EMPTY).join(able.select("cls", "band", dead), ["cls", "band"]).select("sig", "cls", "dead"))
+    # the class with the fewest cells of its own is the likeliest origin of the others
+    centre = F.min_by("cls", F.struct("dead", "cls"))
+    buckets = stored(members.groupBy("sig").agg(centre.alias("a"), F.min("cls").alias("low"), F.max("cls").alias("top")).filter("low <> top").select("sig", "a"))
+    members = stored(members.join(buckets, "sig").select("sig", "cls", "a"))
 
     # one pair for each member of a bucket
     stars = stored(members.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct())
@@ -293,23 +339,12 @@ def similar_classes(docs: DataFrame, first: DataFrame, classes: DataFrame, *, n:
     links = stored(verified(stars, sets, similar))
     labels = stored(components(links))
 
-    # pairs across components, from the smaller one's side
-    named = stored(members.join(labels, members["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node"))
-    weight = named.groupBy("label").agg(F.countDistinct("cls").alias("weight"))
-    rank = F.struct("weight", "label")
-    named = stored(named.join(weight, "label").withColumn("rank", rank))
-    mixed = stored(named.groupBy("sig").agg(F.max("rank").alias("top"), F.min("rank").alias("low")).filter("top <> low"))
-    named = stored(named.join(mixed.select("sig", "top"), "sig"))
-    able = able.select("cls", "band", "n", "k", "live", "cells")
-    rarest = Window.partitionBy("cls", "band").orderBy("size", "sig")
-    seekers = named.join(able, ["cls", "band"]).withColumn("no", F.row_number().over(rarest)).filter("cells = 0 OR no <= live - (cells - k) + 1").filter("rank <> top")
-    seekers = stored(seekers.select("sig", F.col("cls").alias("x"), F.col("rank").alias("x_rank"), F.col("n").alias("x_n")))
-    sizes = classes.select("cls", "n")
-    others = stored(named.join(sizes, "cls").select("sig", F.col("cls").alias("y"), F.col("rank").alias("y_rank"), F.col("n").alias("y_n")))
-    near = (F.col("x_n") * den >= F.col("y_n") * num) & (F.col("y_n") * den >= F.col("x_n") * num)
-    across = seekers.join(others, "sig").filter((F.col("x_rank") < F.col("y_rank")) & near)
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = stored(across.join(stars, ["a", "b"], "left_anti"))
+    # pairs across components, by how their members differ from a class that both met
+    names = labels.select(F.col("node").alias("cls"), "label")
+    named = members.join(names, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    mixed = stored(named.groupBy("sig").agg(F.max("label").alias("top"), F.min("label").alias("low")).filter("top <> low").select("sig"))
+    met = stored(named.filter("cls <> a").join(mixed, "sig").select("a", F.col("cls").alias("b"), "label").distinct())
+    across = stored(difference_pairs(met, sets, similar))
     more = stored(verified(across, sets, similar))
     if more.limit(1).count():
         labels = stored(joined(labels, more))
