@@ -100,8 +100,11 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def block_keys(rows: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct least hashes of a block, sorted, and whether each is at several places."""
+def block_keys(rows: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct least hashes of a block, sorted, whether each is at several places, and their order by spread key.
+
+    Least hashes are small numbers; ranges are cut of keys that are spread evenly.
+    """
     width, found = window - gram + 1, []
     for _, _, _, h, least in windows(rows, window, gram):
         pad = np.zeros(width - 1, np.uint64)
@@ -109,7 +112,7 @@ def block_keys(rows: list[bytes], window: int, gram: int) -> tuple[np.ndarray, n
         cover = sliding(np.r_[pad, least, pad], width, np.maximum)
         found.append(h[: len(cover)][h[: len(cover)] == cover[: len(h)]])
     keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-    return keys, n > 1
+    return keys, n > 1, np.argsort(mix64(keys))
 
 
 def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
@@ -130,7 +133,8 @@ def blocks(docs: DataFrame, parts: int, window: int, gram: int, block: int) -> D
             ids, rows = b.column(0).to_pylist(), texts(b.column(1))
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
             ids, rows = [ids[i] for i in order], [rows[i] for i in order]
-            keys, many = block_keys(rows, window, gram)
+            keys, many, order = block_keys(rows, window, gram)
+            keys, many = mix64(keys)[order], many[order]
             out = [("block", no, None, None, None, pack(b"".join(rows)), ids, [*map(len, rows)])]
             where = part_of(keys, parts)
             out += [("key", no, int(where[a]), pack(np.diff(short_key(keys[a:z]), prepend=np.uint64(0))), np.packbits(many[a:z]).tobytes(), None, None, None) for a, z in _cuts(where)]
@@ -200,11 +204,14 @@ def sent_runs(rows: DataFrame, flags: DataFrame, parts: int, window: int, gram:
     def run(found: pa.Table) -> pa.Table:
         own = next(r for r in found.select(["text", "docs", "sizes", "block"]).to_pylist() if r["text"] is not None)
         texts_, docs, no = _rows_of(own), own["docs"], own["block"]
-        keys, _ = block_keys(texts_, window, gram)
+        keys, _, order = block_keys(texts_, window, gram)
         flag = {p: f for p, f in zip(found.column("part").to_pylist(), found.column("flags").to_pylist()) if p is not None}
-        where = part_of(keys, parts // FINER)
+        where = part_of(mix64(keys)[order], parts // FINER)
         bits = [np.unpackbits(np.frombuffer(flag[int(where[a])], np.uint8), count=z - a) for a, z in _cuts(where)]
-        keys = keys[np.concatenate(bits).astype(bool)] if bits else keys
+        if bits:
+            repeated = np.zeros(len(keys), bool)
+            repeated[order] = np.concatenate(bits).astype(bool)
+            keys = keys[repeated]
         runs, run_keys, repeats = runs_of(texts_, keys, window, gram)
         touched = np.zeros(len(texts_), bool)
         touched[runs[0]] = True
@@ -220,7 +227,7 @@ def sent_runs(rows: DataFrame, flags: DataFrame, parts: int, window: int, gram:
             else:
                 seen.add(piece)
             pieces_.append(piece)
-        where = part_of(run_keys, parts).astype(np.int64)
+        where = part_of(mix64(run_keys), parts).astype(np.int64)
         order = np.flatnonzero(first)
         order = order[np.argsort(where[order], kind="stable")]
         for a, z in _cuts(where[order]):
