@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import MULT, batch, mix64, shards, slabs, stored, texts, words
 
 #: Bytes of text that are tokenised as one block.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 #: Bits of the filters, an upper bound whatever the corpus: 8 MB for words, 32 MB for pairs.
 WORD_BITS, PAIR_BITS = 1 << 26, 1 << 28
 #: Probes for each level, base of the logarithmic scale, and the deepest level.
@@ -163,9 +163,9 @@ def tokenised(docs: DataFrame, parts: int, *, held: int = 1, block: int = BLOCK)
         trained = np.repeat(learnt, sizes)
         vocab, number = np.unique(seq, return_inverse=True)
         counts = np.bincount(number[trained], minlength=len(vocab)).astype(np.uint32)
-        out = [("block", no, None, pack(vocab), None, pack(number.astype(np.uint32)), ids, sizes.tolist())]
+        out = [("block", no, None, pack(np.diff(vocab, prepend=np.uint64(0))), None, pack(number.astype(np.uint32)), ids, sizes.tolist())]
         where = part_of(vocab, parts)
-        out += [("word", no, int(where[a]), pack(vocab[a:z]), pack(counts[a:z]), None, None, None) for a, z in _cuts(where)]
+        out += [("word", no, int(where[a]), pack(np.diff(vocab[a:z], prepend=np.uint64(0))), pack(counts[a:z]), None, None, None) for a, z in _cuts(where)]
         before = np.r_[_START, seq[:-1]]
         before[np.r_[0, ends[:-1]]] = _START
         pairs, n = np.unique(pair_hash(before, seq)[trained], return_counts=True)
@@ -195,9 +195,7 @@ def counted(rows: DataFrame, bits: int, *, send_back: bool) -> DataFrame:
     """For each range: totals and the filter's segment (block null), and each block's counts if wanted."""
 
     def merge(found: pa.Table) -> pa.Table:
-        keys = [unpack(x, np.uint64) for x in found.column("keys").to_pylist()]
-        if not send_back:
-            keys = [np.cumsum(k, dtype=np.uint64) for k in keys]
+        keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in found.column("keys").to_pylist()]
         counts = np.concatenate([unpack(x, np.uint32) for x in found.column("counts").to_pylist()])
         sizes = [len(k) for k in keys]
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -280,7 +278,7 @@ def lm_scores(docs: DataFrame, *, held: int = 1, block: int = BLOCK, word_bits:
         part = found.column("part").to_pylist()
         counts = {p: c for p, c in zip(part, found.column("counts").to_pylist()) if p is not None}
         at = part.index(None)
-        vocab, number = unpack(found.column("keys")[at].as_py(), np.uint64), unpack(found.column("tokens")[at].as_py(), np.uint32)
+        vocab, number = np.cumsum(unpack(found.column("keys")[at].as_py(), np.uint64), dtype=np.uint64), unpack(found.column("tokens")[at].as_py(), np.uint32)
         c = np.concatenate([unpack(counts[p], np.int64) for p in sorted(counts)])
         ids, sizes = found.column("docs")[at].as_py(), np.array(found.column("sizes")[at].as_py())
         starts = np.cumsum(sizes) - sizes
