@@ -148,6 +148,36 @@ _FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64(
 _LIVE = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("tag", pa.int32())])
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _packed(e: np.ndarray) -> bytes:
+    """Entries in order of signature, as columns: differences of 48-bit signatures, and each class once.
+
+    What shortened signatures bring together by chance is told apart by its sets.
+    """
+    ids, at = np.unique(e["cls"], return_inverse=True)
+    columns = [np.diff(e["sig"] >> np.uint64(16), prepend=np.uint64(0)), ids, at.astype("<u2" if len(ids) < 1 << 16 else "<u4"), e["tag"], e["many"]]
+    out = [len(e).to_bytes(8, "little"), len(ids).to_bytes(8, "little")]
+    for c in columns:
+        data = _ZSTD.compress(c.tobytes(), asbytes=True)
+        out += [len(data).to_bytes(8, "little"), data]
+    return b"".join(out)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, classes = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    at, columns = 16, []
+    for kind, count in (("<u8", n), ("<u8", classes), ("<u2" if classes < 1 << 16 else "<u4", n), ("u1", n), ("u1", n)):
+        size = int.from_bytes(data[at : at + 8], "little")
+        raw = _ZSTD.decompress(data[at + 8 : at + 8 + size], count * np.dtype(kind).itemsize, asbytes=True)
+        columns.append(np.frombuffer(raw, kind))
+        at += 8 + size
+    e = np.empty(n, _ENTRY)
+    e["sig"], e["cls"], e["tag"], e["many"] = np.cumsum(columns[0], dtype=np.uint64), columns[1][columns[2]], columns[3], columns[4]
+    return e
+
+
 def _entries(sets_of_batch, bands: Bands) -> tuple[np.ndarray, np.ndarray, list]:
     """Forwarded entries (one for each signature of a batch), entries that they stand for, and the rows' columns."""
     columns, found = [], []
@@ -187,9 +217,9 @@ def first_pass(docs: DataFrame, *, n: int, bands: Bands, parts: int) -> DataFram
                 yield batch(_FIRST, b.column(0), size, ids.view(np.int64), own.astype(np.int32), cells.astype(np.int32), later.astype(np.int32), none, pa.nulls(b.num_rows, pa.binary()))
             shard = (((lead["sig"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
-            packed = [(int(shard[a]), lead[a:z].tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(shard)])]
+            packed = [(int(shard[a]), _packed(lead[a:z])) for a, z in zip(cut, np.r_[cut[1:], len(shard)])]
             if len(rest):
-                packed.append((-1, rest.tobytes()))
+                packed.append((-1, _packed(rest)))
             k = len(packed)
             yield batch(_FIRST, *[pa.nulls(k, f.type) for f in list(_FIRST)[:6]], [p[0] for p in packed], [p[1] for p in packed])
 
@@ -204,7 +234,7 @@ def shared_entries(first: DataFrame) -> DataFrame:
     """sig, cls, tag of every signature that at least two classes share."""
 
     def merge(found: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x, _ENTRY) for x in found.column("entries").to_pylist()])
+        e = np.concatenate([_unpacked(x) for x in found.column("entries").to_pylist()])
         e = e[np.lexsort((e["cls"], e["sig"]))]
         group = np.cumsum(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) - 1
         low = np.flatnonzero(np.r_[True, np.diff(group) > 0])
@@ -216,7 +246,7 @@ def shared_entries(first: DataFrame) -> DataFrame:
     def unpack(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
-                yield _live_rows(np.frombuffer(x, _ENTRY))
+                yield _live_rows(_unpacked(x))
 
     schema = "sig long, cls long, tag int"
     forwarded = first.filter("shard >= 0").select("shard", "entries").groupBy("shard").applyInArrow(merge, schema)
