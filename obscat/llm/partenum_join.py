@@ -257,6 +257,7 @@ def class_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, *, n: int) -
     """cls and its sorted set, packed, of the classes given by one document's id each.
 
     A fixed-size filter of the ids picks the documents that are read again; rows without id are always read.
+    A few sets that were not asked for may be there too.
     """
     wanted, kept = key_filter(ids, "doc_id"), key_filter(classes, "cls")
     sent = docs.sparkSession.sparkContext.broadcast((wanted.bits, wanted.data, kept.bits, kept.data))
@@ -276,7 +277,7 @@ def class_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, *, n: int) -
                 yield batch(schema, cls[take].view(np.int64), [members[ends[i] - sizes[i] : ends[i]].tobytes() for i in take])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "cls long, members binary")
-    return rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("members").alias("members"))
+    return rows.groupBy("cls").agg(F.first("members").alias("members"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
@@ -355,14 +356,15 @@ def similar_classes(docs: DataFrame, first: DataFrame, classes: DataFrame, *, n:
     odd = odd.select("cls", "band", "rep", "n", "k", F.lit(1 << 40).alias("live"), F.lit(0).alias("cells"))
     able = stored(able.unionByName(odd).groupBy("cls", "band", "rep", "n", "k").agg(F.max("live").alias("live"), F.min("cells").alias("cells")))
     dead = F.greatest(F.col("cells") - F.col("live"), F.lit(0)).alias("dead")
-    members = stored(live.withColumn("band", F.col("tag") % _EMPTY).join(able.select("cls", "band", dead), ["cls", "band"]).select("sig", "cls", "dead"))
+    members = stored(live.withColumn("band", F.col("tag") % _EMPTY).join(able.select("cls", "band", "n", dead), ["cls", "band"]).select("sig", "cls", "n", "dead"))
     # the class with the fewest cells of its own is the likeliest origin of the others
-    centre = F.min_by("cls", F.struct("dead", "cls"))
-    buckets = stored(members.groupBy("sig").agg(centre.alias("a"), F.min("cls").alias("low"), F.max("cls").alias("top")).filter("low <> top").select("sig", "a"))
-    members = stored(members.join(buckets, "sig").select("sig", "cls", "a"))
+    centre = F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("a_n")), F.struct("dead", "cls"))
+    buckets = stored(members.groupBy("sig").agg(centre.alias("centre"), F.min("cls").alias("low"), F.max("cls").alias("top")).filter("low <> top").select("sig", "centre.*"))
+    members = stored(members.join(buckets, "sig").select("sig", "cls", "n", "a", "a_n"))
 
     # one pair for each member of a bucket
-    stars = stored(members.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    sized = (F.col("n") * den >= F.col("a_n") * num) & (F.col("a_n") * den >= F.col("n") * num)
+    stars = stored(members.filter(F.col("cls") != F.col("a")).filter(sized).select("a", F.col("cls").alias("b")).distinct())
     involved = stored(members.select("cls").distinct())
     reps = involved.join(classes, "cls").select(F.col("rep").alias("doc_id")).dropna()
     sets = stored(class_sets(docs, reps, involved, n=n))
