@@ -310,7 +310,7 @@ def difference_pairs(met: DataFrame, sets: DataFrame, similar) -> DataFrame:
     """
     num, den = similar
     gap = den - num
-    schema = pa.schema([("c", pa.int64()), ("x", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("member", pa.int64())])
+    schema = pa.schema([("c", pa.int64()), ("x", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("at", pa.int64()), ("member", pa.int64())])
 
     def run(batches):
         for t in batches:
@@ -326,20 +326,22 @@ def difference_pairs(met: DataFrame, sets: DataFrame, similar) -> DataFrame:
                 else:  # then the other one is not
                     least = (d * (den + num) - gap * (len(other) - len(own))) // (2 * (den + num)) + 1
                 first = np.r_[lacked, lost][: max(0, d - least + 1)]
-                out.append((np.full(len(first), c), np.full(len(first), x), np.full(len(first), label), np.full(len(first), len(other)), np.full(len(first), d), first.view(np.int64)))
+                out.append((np.full(len(first), c), np.full(len(first), x), np.full(len(first), label), np.full(len(first), len(other)), np.full(len(first), d), np.arange(len(first)), first.view(np.int64)))
             if out:
                 yield batch(schema, *map(np.concatenate, zip(*out)))
 
     own = sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
     other = sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
     rows = met.join(own, "a").join(other, "b").select("a", "b", "label", "set_a", "set_b")
-    rows = stored(rows.mapInArrow(run, "c long, x long, label long, n long, d long, member long"))
+    rows = stored(rows.mapInArrow(run, "c long, x long, label long, n long, d long, at long, member long"))
     # only members under which two labels meet
     busy = rows.groupBy("c", "member").agg(F.min("label").alias("low"), F.max("label").alias("top")).filter("low <> top").select("c", "member")
     rows = stored(rows.join(stored(busy), ["c", "member"]))
-    left, right = rows, rows.select("c", "member", F.col("x").alias("y"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("d").alias("y_d"))
+    left, right = rows, rows.select("c", "member", F.col("x").alias("y"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("d").alias("y_d"), F.col("at").alias("y_at"))
     most = F.floor((F.col("n") + F.col("y_n")) * gap / (den + num))
     near = (F.col("label") < F.col("y_label")) & (F.abs(F.col("d") - F.col("y_d")) <= most) & (F.col("n") * den >= F.col("y_n") * num) & (F.col("y_n") * den >= F.col("n") * num)
+    # no more members can be common than those from the first common one on
+    near &= 2 * F.least(F.col("d") - F.col("at"), F.col("y_d") - F.col("y_at")) >= F.col("d") + F.col("y_d") - most
     return left.join(right, ["c", "member"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
