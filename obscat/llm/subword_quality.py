@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, MULT, batch, crc_mod5, slabs, texts, words
+from .common import _IS_SPACE, MULT, batch, crc_mod5, pieces, slabs, texts, words
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: SubwordModel, *, threshold: float = THRESHOLD)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        for b in batches:
+        for b in (p for b in batches for p in pieces(b, 1)):
             yield batch(schema, b.column(0), sent.value.scores(texts(b.column(1))))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, model: SubwordModel, *, threshold: float = THRESH
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in (p for b in batches for p in pieces(b, at)):
             yield b.filter(pa.array(sent.value.scores(texts(b.column(at))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
