@@ -3,15 +3,16 @@
 Counts of all training n-grams are gathered exactly, then quantised on a
 logarithmic scale; level j of an n-gram is a member of the filter for every j up
 to its own level.  A count is read by probing levels from 1 until one is missing,
-so errors only ever raise a count and large errors are exponentially rare.  The
-filter has a fixed number of bits and is broadcast; bigram and unigram readings
-are smoothed into one probability.
-
-Texts are tokenised once, in blocks.  A block sends its distinct words to hash
-ranges of the vocabulary (one packed row for each range, never one for each
-token), where they are counted; the ranges send the counts back to the block.  So
-the exact unigram score joins nothing wider than a block's vocabulary, and a word
-that fills a third of the corpus is one entry for each block.
+so errors only ever raise a count and large errors are exponentially rare.  Bigram
+and unigram readings are smoothed into one probability.
+
+Texts are tokenised once, in blocks.  A block sends its distinct words and pairs to
+hash ranges (one packed row for each range, never one for each token), where they
+are counted.  A range builds its own segment of the filter, as large as its counts
+ask for, reads the block's n-grams from it and sends the readings back, for words
+with the exact counts.  So no n-gram is left out at any size, nothing that grows
+with the corpus is broadcast, and a word that fills a third of the corpus is one
+entry for each block.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import MULT, batch, mix64, shards, slabs, stored, texts, words
 
 #: Bytes of text that are tokenised as one block.
 BLOCK = 4 << 20
-#: Bits of the filters, an upper bound whatever the corpus: 8 MB for words, 32 MB for pairs.
-WORD_BITS, PAIR_BITS = 1 << 26, 1 << 28
+#: Bits of a range's filter segment for each level of each n-gram that it holds: about a fifth of them is set.
+ROOM = 16
 #: Probes for each level, base of the logarithmic scale, and the deepest level.
 PROBES, SCALE, DEEPEST = 4, 1.6, 48
 #: What is taken off the count of each seen pair and given to the word's own frequency.
@@ -70,11 +71,16 @@ def level_counts() -> np.ndarray:
     return np.r_[0.0, np.sqrt(low * np.maximum(low, high))]
 
 
+def room(counts: np.ndarray) -> int:
+    """Bits of a segment for these counts, in which all of them have their place."""
+    return max(64, -(-int(levels(counts).sum()) * ROOM // 64) * 64)
+
+
 def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     """The filter's segment for the keys of one range, and the least count that it holds.
 
-    The least count rises from 1 until at most half of the bits are set, so the
-    readings stay reliable however large the corpus is.
+    With as many bits as room() gives, the least count is 1.  With fewer it rises
+    until at most half of the bits are set.
     """
     depth, least = levels(counts), 1
     room = bits * np.log(2) / PROBES
@@ -145,7 +151,7 @@ def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
 
 
 def tokenised(docs: DataFrame, parts: int, *, held: int = 1, block: int = BLOCK) -> DataFrame:
-    """Rows of three kinds: blocks of token numbers, their words by range, their training pairs by range."""
+    """Rows of three kinds: blocks of token numbers, their words by range, their pairs by range; counts are of training tokens."""
 
     def one(no: int, ids: list, rows: list[bytes]):
         hashes, sizes = [], np.zeros(len(rows), np.int64)
@@ -168,7 +174,8 @@ def tokenised(docs: DataFrame, parts: int, *, held: int = 1, block: int = BLOCK)
         out += [("word", no, int(where[a]), pack(np.diff(vocab[a:z], prepend=np.uint64(0))), pack(counts[a:z]), None, None, None) for a, z in _cuts(where)]
         before = np.r_[_START, seq[:-1]]
         before[np.r_[0, ends[:-1]]] = _START
-        pairs, n = np.unique(pair_hash(before, seq)[trained], return_counts=True)
+        pairs, at = np.unique(pair_hash(before, seq), return_inverse=True)
+        n = np.bincount(at[trained], minlength=len(pairs))
         where, keys = part_of(pairs, parts), pair_keys(pairs)
         out += [("pair", no, int(where[a]), pack(np.diff(keys[a:z], prepend=np.uint64(0))), pack(n[a:z].astype(np.uint32)), None, None, None) for a, z in _cuts(where)]
         return batch(_ROW, *map(list, zip(*out)))
@@ -187,12 +194,12 @@ def tokenised(docs: DataFrame, parts: int, *, held: int = 1, block: int = BLOCK)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _ROW_SQL)
 
 
-_BACK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("filter", pa.binary()), ("mass", pa.int64()), ("kept", pa.int64())])
-_BACK_SQL = "block long, part int, counts binary, total long, distinct long, filter binary, mass long, kept long"
+_BACK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("levels", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
+_BACK_SQL = "block long, part int, counts binary, levels binary, total long, distinct long"
 
 
-def counted(rows: DataFrame, bits: int, *, send_back: bool) -> DataFrame:
-    """For each range: totals and the filter's segment (block null), and each block's counts if wanted."""
+def counted(rows: DataFrame, *, exact: bool) -> DataFrame:
+    """For each range: totals (block null), and for each block the levels of its n-grams, with their exact counts if wanted."""
 
     def merge(found: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in found.column("keys").to_pylist()]
@@ -200,50 +207,44 @@ def counted(rows: DataFrame, bits: int, *, send_back: bool) -> DataFrame:
         sizes = [len(k) for k in keys]
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(at, counts, len(keys)).astype(np.int64)
-        data, least = segment(keys[sums > 0], sums[sums > 0], bits)
+        known = sums > 0
+        bits = room(sums[known])
+        data, _ = segment(keys[known], sums[known], bits)
+        held, read = LogFrequencyFilter(data, 1, bits), np.zeros(len(keys), np.uint8)
+        for k in range(0, len(keys), 1 << 20):
+            part = keys[k : k + (1 << 20)]
+            read[k : k + (1 << 20)] = held.level(part, np.zeros(len(part), np.uint64))
         part = found.column("part")[0].as_py()
-        out = [(None, part, None, int(sums.sum()), int((sums > 0).sum()), data.tobytes(), int(sums[sums >= least].sum()), int((sums >= least).sum()))]
-        if send_back:
-            ends = np.cumsum(sizes)
-            out += [(b, part, pack(sums[at[e - n : e]]), None, None, None, None, None) for b, n, e in zip(found.column("block").to_pylist(), sizes, ends.tolist())]
+        out = [(None, part, None, None, int(sums.sum()), int(known.sum()))]
+        for b, n, e in zip(found.column("block").to_pylist(), sizes, np.cumsum(sizes).tolist()):
+            mine = at[e - n : e]
+            out.append((b, part, pack(sums[mine]) if exact else None, pack(read[mine]), None, None))
         return pa.Table.from_batches([batch(_BACK, *map(list, zip(*out)))])
 
     return rows.select("block", "part", "keys", "counts").groupBy("part").applyInArrow(merge, _BACK_SQL)
 
 
-def gathered(back: DataFrame, parts: int, bits: int) -> tuple[LogFrequencyFilter, int, int, float]:
-    """The filter, tokens, distinct n-grams, and the share of all counts that is left when each held one is discounted.
-
-    What comes to the driver is the filter, of fixed size, and three numbers for each range.
-    """
-    data = np.zeros((parts, bits // 64), np.uint64)
-    total = distinct = 0
-    left = 0.0
-    for r in back.filter("block IS NULL").select("part", "total", "distinct", "filter", "mass", "kept").toArrow().to_batches():
-        for part, t, d, f, mass, kept in zip(*(c.to_pylist() for c in r.columns)):
-            data[part] = np.frombuffer(f, np.uint64)
-            total, distinct, left = total + t, distinct + d, left + t - mass + DISCOUNT * kept
-    return LogFrequencyFilter(data.reshape(-1), parts, bits), total, distinct, left / max(1, total)
+def totals(back: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct n-grams of all ranges."""
+    found = back.filter("block IS NULL").agg(F.sum("total"), F.sum("distinct")).first()
+    return found[0] or 0, found[1] or 0
 
 
 @dataclass(frozen=True)
 class Scorer:
-    words: LogFrequencyFilter
-    pairs: LogFrequencyFilter
     total: int
     distinct: int
-    left: float
+    left: float  # share of all counts that is left when each pair's is discounted
 
-    def score(self, vocab: np.ndarray, number: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of a block, under the smoothed pair model."""
-        parts, stands = self.words.parts, level_counts()
-        own = stands[self.words.level(vocab, part_of(vocab, parts))]
+    def score(self, vocab: np.ndarray, own: np.ndarray, paired: np.ndarray, number: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of a block, under the smoothed pair model; own and paired are levels of its words and pairs."""
+        stands = level_counts()
+        own = stands[own]
         alone = (own + 0.5) / (self.total + 0.5 * (self.distinct + 1))
         seq = vocab[number]
         before = np.r_[_START, seq[:-1]]
         before[starts] = _START
-        pairs, at = np.unique(pair_hash(before, seq), return_inverse=True)
-        seen = stands[self.pairs.level(pair_keys(pairs), part_of(pairs, parts))][at]
+        seen = stands[paired][np.unique(pair_hash(before, seq), return_inverse=True)[1]]
         # a text's beginning is as frequent as its end
         end = own[np.searchsorted(vocab, _END)] if len(vocab) else 0.0
         context = np.r_[end, own[number[:-1]]]
@@ -252,7 +253,7 @@ class Scorer:
         return np.log10(share + (self.left if self.total else 1.0) * alone[number])
 
 
-def lm_scores(docs: DataFrame, *, held: int = 1, block: int = BLOCK, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
+def lm_scores(docs: DataFrame, *, held: int = 1, block: int = BLOCK) -> DataFrame:
     """Exact unigram and smoothed pair-model log10 probabilities of every row's text.
 
     The model learns from rows whose crc32(doc_id as text) mod 5 is not held; a row
@@ -263,32 +264,32 @@ def lm_scores(docs: DataFrame, *, held: int = 1, block: int = BLOCK, word_bits:
     gives an empty result; other columns do not matter.
     """
     spark = docs.sparkSession
-    parts = shards(spark)
-    rows = stored(tokenised(docs, parts, held=held, block=block), "kind")
-    each = lambda bits: max(64, bits // parts // 64 * 64)
-    back = stored(counted(rows.filter("kind = 'word'"), each(word_bits), send_back=True))
-    pairs = stored(counted(rows.filter("kind = 'pair'"), each(pair_bits), send_back=False))
-    word_filter, total, distinct, _ = gathered(back, parts, each(word_bits))
-    pair_filter, _, _, left = gathered(pairs, parts, each(pair_bits))
-    sent = spark.sparkContext.broadcast(Scorer(word_filter, pair_filter, total, distinct, left))
+    rows = stored(tokenised(docs, shards(spark), held=held, block=block), "kind")
+    back = stored(counted(rows.filter("kind = 'word'"), exact=True))
+    pairs = stored(counted(rows.filter("kind = 'pair'"), exact=False))
+    total, distinct = totals(back)
+    scorer = Scorer(total, distinct, DISCOUNT * totals(pairs)[1] / max(1, total))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(found: pa.Table) -> pa.Table:
-        scorer = sent.value
-        part = found.column("part").to_pylist()
-        counts = {p: c for p, c in zip(part, found.column("counts").to_pylist()) if p is not None}
+        part, has_counts = found.column("part").to_pylist(), found.column("counts").is_valid().to_pylist()
         at = part.index(None)
+        joined = lambda name, exact, dtype: np.concatenate([unpack(found.column(name)[k].as_py(), dtype) for _, k in sorted((p, k) for k, p in enumerate(part) if p is not None and has_counts[k] == exact)])
         vocab, number = np.cumsum(unpack(found.column("keys")[at].as_py(), np.uint64), dtype=np.uint64), unpack(found.column("tokens")[at].as_py(), np.uint32)
-        c = np.concatenate([unpack(counts[p], np.int64) for p in sorted(counts)])
+        c = joined("counts", True, np.int64)
         ids, sizes = found.column("docs")[at].as_py(), np.array(found.column("sizes")[at].as_py())
         starts = np.cumsum(sizes) - sizes
         base = np.log10((c + 0.5) / (scorer.total + 0.5 * (scorer.distinct + 1)))
+        score = scorer.score(vocab, joined("levels", True, np.uint8), joined("levels", False, np.uint8), number, starts)
         sums = lambda x: np.add.reduceat(x, starts)
-        known, low, high = sums((c > 0)[number].astype(np.int64)), sums(base[number]), sums(scorer.score(vocab, number, starts))
+        known, low, high = sums((c > 0)[number].astype(np.int64)), sums(base[number]), sums(score)
         held_out = [remainder(i) == held for i in ids]
         return pa.Table.from_batches([batch(schema, ids, held_out, sizes, known, np.full(len(ids), scorer.total), low, high)])
 
-    names = ["block", "part", "keys", "counts", "tokens", "docs", "sizes"]
-    own = rows.filter("kind = 'block'").select(names)
-    counts = back.filter("block IS NOT NULL").select("block", "part", F.lit(None).cast("binary").alias("keys"), "counts", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("array<bigint>").alias("docs"), F.lit(None).cast("array<bigint>").alias("sizes"))
-    return own.unionByName(counts.select(names)).groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    names = ["block", "part", "keys", "counts", "levels", "tokens", "docs", "sizes"]
+    nothing = lambda kind, *columns: [F.lit(None).cast(kind).alias(c) for c in columns]
+    own = rows.filter("kind = 'block'").select("*", *nothing("binary", "levels")).select(names)
+    for found in (back, pairs):
+        read = found.filter("block IS NOT NULL").select("*", *nothing("binary", "keys", "tokens"), *nothing("array<bigint>", "docs", "sizes"))
+        own = own.unionByName(read.select(names))
+    return own.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

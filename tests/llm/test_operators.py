@@ -300,6 +300,49 @@ def test_filter_levels():
     assert least > 1
 
 
+def test_language_model_keeps_all(spark):
+    """A range with more n-grams than a filter of fixed size would hold reads every one of them."""
+    import numpy as np
+
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 60, 3_200_000, dtype=np.uint64))
+    counts = np.where(np.arange(len(keys)) % 10, 1, 3).astype(np.uint32)
+    rows = [("word", 0, 0, bytearray(bloom_lm.pack(np.diff(keys, prepend=np.uint64(0)))), bytearray(bloom_lm.pack(counts)))]
+    rows += [("word", 1, 0, bytearray(bloom_lm.pack(np.diff(keys[:5], prepend=np.uint64(0)))), bytearray(bloom_lm.pack(np.zeros(5, np.uint32))))]
+    back = bloom_lm.counted(spark.createDataFrame(rows, "kind string, block long, part int, keys binary, counts binary"), exact=True)
+    got = {r.block: r for r in back.collect()}
+    read = bloom_lm.unpack(got[0].levels, np.uint8)
+    assert (got[None].total, got[None].distinct) == (int(counts.sum()), len(keys))
+    assert (read >= bloom_lm.levels(counts)).all() and (read == bloom_lm.levels(counts)).mean() > 0.99
+
+
+def test_language_model_scores(docs, table):
+    """The pair model against counts that are quantised without a filter."""
+    import numpy as np
+
+    toks = [(i, [*words(t), None]) for i, t, *_ in table]
+    one, two = {}, {}
+    for i, w in toks:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            for a, b in zip(["", *w], w):
+                one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
+    total, stands = sum(one.values()), bloom_lm.level_counts()
+    quant = lambda counts, k: float(stands[bloom_lm.levels(np.array([counts.get(k, 0)]))[0]])
+    left = bloom_lm.DISCOUNT * len(two) / total
+
+    def score(w):
+        out = 0.0
+        for a, b in zip(["", *w], w):
+            context = quant(one, a or None)
+            share = min(1.0, max(quant(two, (a, b)) - bloom_lm.DISCOUNT, 0) / max(context, 1)) if context else 0.0
+            out += math.log10(share + left * (quant(one, b) + 0.5) / (total + 0.5 * (len(one) + 1)))
+        return out
+
+    expected = sorted((i is not None, i or 0, len(w), score(w)) for i, w in toks)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score) for r in bloom_lm.lm_scores(docs, block=4000).collect())
+    assert [g[:3] for g in got] == [e[:3] for e in expected]
+    assert sum(abs(g[3] - e[3]) for g, e in zip(got, expected)) < 0.01 * sum(e[2] for e in expected)
+
+
 VOCABULARY = rank_bpe.vocabulary("word_bpe_49k.json")
 
 
