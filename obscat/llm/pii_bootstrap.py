@@ -4,7 +4,8 @@ Seed entities (what the fixed patterns find, and key-like hexadecimal strings)
 occur in lexical contexts: the two words before, or the words on either side.
 Contexts and fillers form a graph, which is scored in rounds on Spark: a context
 is as good for a kind as the mean score of its distinct fillers, an unknown
-filler as good as the contexts it occurs in.  Contexts that are confident, have
+filler as good as the contexts it occurs in, and good for contexts without a seed
+too: each round reaches one context further.  Contexts that are confident, have
 enough distinct fillers and are pure in kind discover the identifiers that no
 fixed pattern knows.  The texts are read once: candidates are written with their
 contexts, and only those narrow rows are joined.
@@ -152,7 +153,7 @@ def confident_contexts(occurring: DataFrame, *, rounds: int = ROUNDS, confident:
     all documents has no more say than another.
     """
     edges = stored(occurring.groupBy("context", "filler").agg(F.max("kind").alias("kind")))
-    edges = stored(edges.join(edges.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("any")).filter((F.col("n") >= support) & F.col("any").isNotNull()).select("context", "n"), "context"))
+    edges = stored(edges.join(edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support), "context"))
     known = edges.filter("kind IS NOT NULL").select("context", "filler", "n", "kind", F.lit(1.0).alias("score"))
     unknown = edges.filter("kind IS NULL").select("context", "filler", "n")
     scored, contexts = known, None

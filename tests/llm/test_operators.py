@@ -397,6 +397,16 @@ def test_contexts_discover(spark):
     assert got[1000] == "card:15:26" and got[1001] == "" and got[1002] == "" and got[0].startswith("card:")
 
 
+def test_discovered_entities_seed_contexts(spark):
+    """Staff numbers are found beside phone numbers, then beside 'badge no', where no seed ever stands."""
+    rows = [(i, f"reach me via +1555010{1000 + i} anytime") for i in range(200)]
+    rows += [(1000 + i, f"reach me via QX-{70000 + i} anytime") for i in range(8)]
+    rows += [(2000 + i, f"holder of badge no QX-{70000 + i} here") for i in range(8)]
+    rows += [(3000, "holder of badge no QX-99123 here"), (3001, "part of item no ZZ-99124 there")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] == "phone:13:21" and got[2000] == got[3000] == "phone:19:27" and got[3001] == ""
+
+
 def test_empty_tables(empty):
     for df in (
         exact_fingerprint.exact_dedup(empty), subword_quality.classify(empty, empty.select("doc_id", F.lit(1).alias("quality"))), curriculum_mix.mix_report(empty), prefix_fingerprint.document_fingerprints(empty),
