@@ -55,6 +55,7 @@ class WordBpe:
             self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name = {i: t for t, i in (self.vocab | self.special).items()}
+        self.names = np.array([self.name.get(i) for i in range(max(self.name) + 1)], object)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -63,8 +64,8 @@ class WordBpe:
         self.last = np.array([self.vocab[c + self.end] for c in letters], np.int32)
         self.made = np.array([new for _, new in sorted(self.pairs.values())], np.int32)
         self._table()
-        self.young: dict[str, tuple[int, bytes, str]] = {}
-        self.old: dict[str, tuple[int, bytes, str]] = {}
+        self.young: dict[str, tuple[int, bytes]] = {}
+        self.old: dict[str, tuple[int, bytes]] = {}
 
     def _table(self) -> None:
         """Ranks of pairs in an open-addressing table for whole arrays of pairs."""
@@ -168,8 +169,8 @@ class WordBpe:
                 heapq.heappush(heap, (p[0], h, ids[h], new, p[1]))
         return [x for x in ids if x >= 0]
 
-    def coded(self, words: set[str]) -> dict[str, tuple[int, bytes, str]]:
-        """For each word: number of tokens, ids as little-endian 32-bit integers, tokens joined by spaces."""
+    def coded(self, words: set[str]) -> dict[str, tuple[int, bytes]]:
+        """For each word: number of tokens, ids as little-endian 32-bit integers."""
         young, old = self.young, self.old
         out, new = {}, []
         for w in words:
@@ -188,14 +189,14 @@ class WordBpe:
             short = [k for k, x in enumerate(raw) if len(x) <= SHORT]
             if short:
                 ids, count = self.merge_together([raw[k] for k in short])
-                data, names, here = ids.astype("<u4").tobytes(), [self.name[i] for i in ids.tolist()], 0
+                data, here = ids.astype("<u4").tobytes(), 0
                 for k, c in zip(short, count.tolist()):
-                    out[part[k]] = c, data[4 * here : 4 * (here + c)], " ".join(names[here : here + c])
+                    out[part[k]] = c, data[4 * here : 4 * (here + c)]
                     here += c
             for k, x in enumerate(raw):
                 if len(x) > SHORT:
                     ids = self.merge_heap([*self.inner[[*x[:-1]]].tolist(), int(self.last[x[-1]])])
-                    out[part[k]] = len(ids), b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.name.__getitem__, ids))
+                    out[part[k]] = len(ids), b"".join(i.to_bytes(4, "little") for i in ids)
         for w in new:
             if len(w) <= CACHE_LENGTH:
                 young[w] = out[w]
@@ -218,12 +219,12 @@ class WordBpe:
             out += [piece] if k % 2 else self.split.findall(self.normalised(piece))
         return out
 
-    def runs(self, texts: list[str]) -> list[list[tuple[int, bytes, str]]]:
+    def runs(self, texts: list[str]) -> list[list[tuple[int, bytes]]]:
         """The coded words and special tokens of each text, in order."""
         split = [self.split_text(t) for t in texts]
         words = set().union(*split)
         special = words & self.special.keys()  # no word of the split pattern mixes letters and signs as these do
-        known = self.coded(words - special) | {t: (1, self.special[t].to_bytes(4, "little"), t) for t in special}
+        known = self.coded(words - special) | {t: (1, self.special[t].to_bytes(4, "little")) for t in special}
         return [[*map(known.__getitem__, s)] for s in split]
 
     def encode(self, text: str) -> list[int]:
@@ -233,6 +234,16 @@ class WordBpe:
         """Tokens joined by spaces: the vocabulary names no decoder of its own."""
         return " ".join(self.name[i] for i in ids if i in self.name)
 
+    def decode_packed(self, ids: bytes) -> str:
+        """The same of packed ids, which must all be of the vocabulary."""
+        return " ".join(self.names[np.frombuffer(ids, "<u4")].tolist())
+
+    def rows(self, texts: list[str]) -> tuple[list[int], list[bytes], list[str]]:
+        """For each text: number of tokens, packed ids, and the text that these ids decode to."""
+        coded = self.runs(texts)
+        ids = [b"".join(r[1] for r in c) for c in coded]
+        return [sum(r[0] for r in c) for c in coded], ids, [*map(self.decode_packed, ids)]
+
 
 _loaded: dict[str, WordBpe] = {}
 
@@ -258,8 +269,7 @@ def bpe_codes(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):  # results of a few rows at a time
                 part = b.slice(at, 512)
-                coded = coder.runs([t or "" for t in part.column(1).to_pylist()])
-                yield batch(schema, part.column(0), [sum(r[0] for r in c) for c in coded], [b"".join(r[1] for r in c) for c in coded], [" ".join(r[2] for r in c) for c in coded])
+                yield batch(schema, part.column(0), *coder.rows([t or "" for t in part.column(1).to_pylist()]))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 

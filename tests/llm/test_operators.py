@@ -374,6 +374,16 @@ def test_bpe_texts():
         assert mine.merge_together([raw])[0].tolist() == mine.merge_heap(ids)
 
 
+def test_bpe_decodes_its_ids():
+    """A word that is given another's ids shows in the decoded text."""
+    mine = rank_bpe.WordBpe(VOCABULARY)
+    mine.encode("house river")
+    other = next(w for w in mine.young if w.strip() == "river")
+    mine.young[next(w for w in mine.young if w.strip() == "house")] = mine.young[other]
+    n, ids, decoded = mine.rows(["house", "", "river<|endoftext|>"])
+    assert decoded == [mine.decode(mine.encode("river")), "", mine.decode(mine.encode("river<|endoftext|>"))] and n[1] == 0 and ids[1] == b""
+
+
 def test_personal_data(docs, table):
     def spans(t):
         out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
