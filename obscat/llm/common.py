@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII upper-case letters, the only ones that are lower-cased.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -31,43 +35,115 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _scratch: dict[int, str] = {}
+#: Tables stored since each open ``passing`` began, the innermost last.
+_open: list[list[str]] = []
+#: Makes Spark remove a query's shuffle files when the query ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
     """The folder for written intermediate tables, below ``spark.checkpoint.dir``.
 
-    Only where that setting is unset, as in local tests, a temporary folder takes
-    its place.  The folder is removed when the session's process ends.
+    Only where that setting is unset and the master is local, as in tests, a
+    temporary folder takes its place.  The folder is removed when the session's
+    process ends.
     """
     key = id(spark.sparkContext)
     if key not in _scratch:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="obscat-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="obscat-")
         _scratch[key] = f"{base.rstrip('/')}/obscat-{uuid.uuid4().hex}"
         atexit.register(release, spark)
     return _scratch[key]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove what ``stored`` has written in this session."""
     path = _scratch.pop(id(spark.sparkContext), None)
     if path and spark.sparkContext._jsc is not None:
         try:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            _delete(spark, path)
         except Exception:  # the gateway may be gone already when the process ends
             pass
 
 
-def stored(df: DataFrame, *parts: str) -> DataFrame:
+def _written(df: DataFrame, *parts: str) -> str:
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def _table(spark: SparkSession, path: str, schema) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back.
 
     This cuts the lineage: later jobs start from files that every executor can
-    read, whichever executors have been lost since.
+    read, whichever executors have been lost since.  The shuffle files of the
+    query go with its end.
     """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _table(df.sparkSession, _written(df), df.schema)
+
+
+def stored_by(df: DataFrame, kind: str, values: Sequence[str]) -> list[DataFrame]:
+    """Like stored, in one pass: a table for each value of the column kind, without that column."""
+    path, schema = _written(df, kind), T.StructType([f for f in df.schema if f.name != kind])
+    out = []
+    for value in values:
+        own = f"{path}/{kind}={value}"
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(own)
+        files = jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+        if not files.exists(jpath):
+            files.mkdirs(jpath)
+        out.append(_table(df.sparkSession, own, schema))
+    return out
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored within the block go at its end, but for those given to what it yields."""
+    _open.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            if any(k.startswith(path) for k in kept):
+                if _open:
+                    _open[-1].append(path)
+            else:
+                _delete(spark, path)
 
 
 def shards(spark: SparkSession) -> int:
@@ -84,14 +160,69 @@ def crc_mod5(col):
     return F.crc32(col.cast("string").cast("binary")) % 5
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker is kept for later tasks, which may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow, with freed memory returned at the end of each task."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def frugal_group(merge: Callable[[pa.Table], pa.Table]):
+    """merge for applyInArrow, with freed memory returned after each group."""
+
+    def whole(found):
+        out = merge(found)
+        del found
+        give_back()
+        return out
+
+    return whole
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text, nulls as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(b: pa.RecordBatch, column: int, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about limit bytes of text each; a longer text is a slice of its own."""
-    size = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def pack(a: np.ndarray | bytes) -> bytes:
+    raw = a if isinstance(a, bytes) else a.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unpack(data: bytes, dtype=np.uint8) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), dtype)
+
+
+def pack_columns(*columns: np.ndarray) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in map(pack, columns))
+
+
+def unpack_columns(data: bytes, *kinds) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(unpack(data[at + 8 : at + 8 + size], kind))
+        at += 8 + size
+    return out
+
+
+def pieces(b: pa.RecordBatch, *columns: int, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about limit bytes in the columns each; a longer row is a slice of its own."""
+    size = sum(pa.compute.fill_null(pa.compute.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns)
     total, first = np.cumsum(size, dtype=np.int64), 0
     while first < b.num_rows:
         done = int(total[first - 1]) if first else 0
@@ -132,12 +263,29 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["inv"]
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of every maximal run of non-space bytes."""
+def words(data: np.ndarray, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every maximal run of non-space bytes.
+
+    Long data is taken in blocks that end at a space, so what is held beside the
+    result does not grow with it; only a longer word makes a longer block.
+    """
+    found, at = [], 0
+    while at < len(data):
+        stop = at + block
+        while stop < len(data) and not len(gap := np.flatnonzero(_IS_SPACE[data[stop : stop + block]])):
+            stop += block
+        stop = len(data) if stop >= len(data) else stop + int(gap[0])
+        starts, ends, hashes = _words(data[at:stop])
+        found.append((starts + at, ends + at, hashes))
+        at = stop
+    if len(found) == 1:
+        return found[0]
+    none = np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*found))) if found else (none, none, np.zeros(0, np.uint64))
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
     inside = np.empty(n + 2, np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = ~_IS_SPACE[data]
@@ -213,7 +361,7 @@ def key_filter(df: DataFrame, column: str) -> KeyFilter:
                 first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
                 yield batch(schema, word[first], np.bitwise_or.reduceat(mask, first).view(np.int64))
 
-    found = df.select(column).mapInArrow(build, "word int, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    found = df.select(column).mapInArrow(frugal(build), "word int, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     data = np.zeros(bits // 64, np.uint64)
     data[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
     return KeyFilter(bits, data)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let_go, passing, stored
 
 #: Below so many links a node's own links fit into any task, and a round is one job.
 FEW = 1_000_000
@@ -32,12 +32,15 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         kept = stored if state[0] > FEW else lambda df: df
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = kept(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        with passing(links.sparkSession) as keep:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+            large = kept(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            after = keep(stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct()))
+        let_go(edges)
+        edges = after
         state, before = _state(edges), state
         if state == before:
             break

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, mix64, pieces, shards, stored, texts
+from .common import batch, frugal, frugal_group, let_go, mix64, pack, pieces, shards, stored, stored_by, texts, unpack
 from .suffixes import common_prefixes, two_stage, type_b
 
 #: Bytes that must repeat, and bytes of the hashes by which windows meet.
@@ -36,16 +36,6 @@ BLOCK = 6 << 20
 #: Ranges for suffix sorting, for each shard of the other exchanges: they hold text.
 FINER = 8
 _SLAB = 1 << 18
-_ZSTD = pa.Codec("zstd", 1)
-
-
-def pack(a) -> bytes:
-    raw = a if isinstance(a, bytes) else a.tobytes()
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
-
-
-def unpack(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), dtype)
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -129,7 +119,7 @@ def blocks(docs: DataFrame, parts: int, window: int, gram: int, block: int) -> D
 
     def run(batches):
         no = TaskContext.get().partitionId() << 32
-        for b in (p for b in batches for p in pieces(b, 1, block)):
+        for b in (p for b in batches for p in pieces(b, 1, limit=block)):
             ids, rows = b.column(0).to_pylist(), texts(b.column(1))
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
             ids, rows = [ids[i] for i in order], [rows[i] for i in order]
@@ -141,7 +131,7 @@ def blocks(docs: DataFrame, parts: int, window: int, gram: int, block: int) -> D
             no += 1
             yield batch(_ROW, *map(list, zip(*out)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _ROW_SQL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), _ROW_SQL)
 
 
 _FLAG = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("flags", pa.binary())])
@@ -159,7 +149,7 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
         bits = [np.packbits(flag[e - len(k) : e]).tobytes() for k, e in zip(keys, ends.tolist())]
         return pa.Table.from_batches([batch(_FLAG, found.column("block").to_pylist(), found.column("part").to_pylist(), bits)])
 
-    return rows.select("block", "part", "keys", "many").groupBy("part").applyInArrow(merge, "block long, part int, flags binary")
+    return rows.select("block", "part", "keys", "many").groupBy("part").applyInArrow(frugal_group(merge), "block long, part int, flags binary")
 
 
 def _rows_of(block_row) -> list[bytes]:
@@ -244,9 +234,9 @@ def sent_runs(rows: DataFrame, flags: DataFrame, parts: int, window: int, gram:
         return pa.Table.from_batches([batch(_PART, *map(list, zip(*out)))])
 
     names = ["block", "part", "text", "docs", "sizes", "flags"]
-    own = rows.filter("kind = 'block'").withColumn("flags", F.lit(None).cast("binary")).select(names)
+    own = rows.withColumn("flags", F.lit(None).cast("binary")).select(names)
     flags = flags.select("block", "part", F.lit(None).cast("binary").alias("text"), F.lit(None).cast("array<bigint>").alias("docs"), F.lit(None).cast("array<bigint>").alias("sizes"), "flags")
-    return own.unionByName(flags).groupBy("block").applyInArrow(run, _PART_SQL)
+    return own.unionByName(flags).groupBy("block").applyInArrow(frugal_group(run), _PART_SQL)
 
 
 def repeated_starts(rows: list[bytes], window: int) -> list[np.ndarray]:
@@ -303,7 +293,7 @@ def judged(runs: DataFrame, window: int) -> DataFrame:
             bits[k].append(marks[i] if i in marks else np.ones(len(rows[i]) - window + 1, bool))
         return pa.Table.from_batches([batch(_BITS, found.column("block").to_pylist(), found.column("part").to_pylist(), [np.packbits(np.concatenate(b)).tobytes() for b in bits])])
 
-    return runs.select("block", "part", "text", "docs", "runs").groupBy("part").applyInArrow(merge, "block long, part int, bits binary")
+    return runs.select("block", "part", "text", "docs", "runs").groupBy("part").applyInArrow(frugal_group(merge), "block long, part int, bits binary")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -340,7 +330,7 @@ def cleaned(texts_rows: DataFrame, bits: DataFrame, window: int, *, with_text: b
     own = texts_rows.withColumn("bits", F.lit(None).cast("binary")).select(names)
     kinds = dict(own.dtypes)
     bits = bits.select("block", "part", *(F.lit(None).cast(kinds[c]).alias(c) for c in names[2:-1]), "bits")
-    return own.unionByName(bits.select(names)).groupBy("block").applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return own.unionByName(bits.select(names)).groupBy("block").applyInArrow(frugal_group(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, with_text: bool = False) -> DataFrame:
@@ -357,12 +347,15 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     if not 8 <= gram <= window:
         raise ValueError("gram must be at least 8 and at most window")
     parts = shards(docs.sparkSession)
-    rows = stored(blocks(docs, parts, window, gram, block), "kind")
-    flags = stored(repeated_keys(rows.filter("kind = 'key'")))
-    split = stored(sent_runs(rows, flags, parts * FINER, window, gram), "kind")
-    bits = stored(judged(split.filter("kind = 'run'"), window))
-    some = cleaned(split.filter("kind = 'text'"), bits, window, with_text=with_text)
+    texts_, keys = stored_by(blocks(docs, parts, window, gram, block), "kind", ("block", "key"))
+    flags = stored(repeated_keys(keys))
+    let_go(keys)
+    touched, runs, done = stored_by(sent_runs(texts_, flags, parts * FINER, window, gram), "kind", ("text", "run", "done"))
+    let_go(texts_, flags)
+    bits = stored(judged(runs, window))
+    let_go(runs)
+    some = cleaned(touched, bits, window, with_text=with_text)
     zero = F.lit(0).cast("long")
-    done = split.filter("kind = 'done'").select(F.col("docs")[0].alias("doc_id"), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.col("sha").alias("kept_sha256"))
+    done = done.select(F.col("docs")[0].alias("doc_id"), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.col("sha").alias("kept_sha256"))
     out = done.unionByName(some)
     return out if with_text else out.drop("kept")
