@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, batch, mix64, shards, slabs, stored, texts, words
+from .common import MULT, batch, frugal, frugal_group, let_go, mix64, pack, shards, slabs, stored, stored_by, texts, unpack, words
 
 #: Bytes of text that are tokenised as one block.
 BLOCK = 4 << 20
@@ -37,16 +37,6 @@ PROBES, SCALE, DEEPEST = 4, 1.6, 48
 #: What is taken off the count of each seen pair and given to the word's own frequency.
 DISCOUNT = 0.95
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_ZSTD = pa.Codec("zstd", 1)
-
-
-def pack(a: np.ndarray) -> bytes:
-    raw = a.tobytes()
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
-
-
-def unpack(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), dtype)
 
 
 def remainder(doc_id) -> int | None:
@@ -191,7 +181,7 @@ def tokenised(docs: DataFrame, parts: int, *, held: int = 1, block: int = BLOCK)
                     yield one(no, ids[first : i + 1], rows[first : i + 1])
                     no, first, size = no + 1, i + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _ROW_SQL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), _ROW_SQL)
 
 
 _BACK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("levels", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
@@ -221,7 +211,7 @@ def counted(rows: DataFrame, *, exact: bool) -> DataFrame:
             out.append((b, part, pack(sums[mine]) if exact else None, pack(read[mine]), None, None))
         return pa.Table.from_batches([batch(_BACK, *map(list, zip(*out)))])
 
-    return rows.select("block", "part", "keys", "counts").groupBy("part").applyInArrow(merge, _BACK_SQL)
+    return rows.select("block", "part", "keys", "counts").groupBy("part").applyInArrow(frugal_group(merge), _BACK_SQL)
 
 
 def totals(back: DataFrame) -> tuple[int, int]:
@@ -264,11 +254,13 @@ def lm_scores(docs: DataFrame, *, held: int = 1, block: int = BLOCK) -> DataFram
     gives an empty result; other columns do not matter.
     """
     spark = docs.sparkSession
-    rows = stored(tokenised(docs, shards(spark), held=held, block=block), "kind")
-    back = stored(counted(rows.filter("kind = 'word'"), exact=True))
-    pairs = stored(counted(rows.filter("kind = 'pair'"), exact=False))
+    own, vocabularies, pairs = stored_by(tokenised(docs, shards(spark), held=held, block=block), "kind", ("block", "word", "pair"))
+    back = stored(counted(vocabularies, exact=True))
+    let_go(vocabularies)
+    read = stored(counted(pairs, exact=False))
+    let_go(pairs)
     total, distinct = totals(back)
-    scorer = Scorer(total, distinct, DISCOUNT * totals(pairs)[1] / max(1, total))
+    scorer = Scorer(total, distinct, DISCOUNT * totals(read)[1] / max(1, total))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(found: pa.Table) -> pa.Table:
@@ -288,8 +280,8 @@ def lm_scores(docs: DataFrame, *, held: int = 1, block: int = BLOCK) -> DataFram
 
     names = ["block", "part", "keys", "counts", "levels", "tokens", "docs", "sizes"]
     nothing = lambda kind, *columns: [F.lit(None).cast(kind).alias(c) for c in columns]
-    own = rows.filter("kind = 'block'").select("*", *nothing("binary", "levels")).select(names)
-    for found in (back, pairs):
-        read = found.filter("block IS NOT NULL").select("*", *nothing("binary", "keys", "tokens"), *nothing("array<bigint>", "docs", "sizes"))
-        own = own.unionByName(read.select(names))
-    return own.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = own.select("*", *nothing("binary", "levels")).select(names)
+    for found in (back, read):
+        found = found.filter("block IS NOT NULL").select("*", *nothing("binary", "keys", "tokens"), *nothing("array<bigint>", "docs", "sizes"))
+        own = own.unionByName(found.select(names))
+    return own.groupBy("block").applyInArrow(frugal_group(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
