@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Documents of a source are ordered by a digest of their id; its first hex digits are the bucket.
+#: Documents of a source are ordered by a digest of their id and text; its first hex digits are the bucket.
 BUCKET_DIGITS = 3
 #: No source, and no document, is taken more often.
 MOST = 3
@@ -61,38 +61,45 @@ def position(fraction: Column, slope: Column) -> Column:
     return F.when(slope == 0, fraction).otherwise((F.sqrt(one * one + 4 * slope * fraction) - one) / (2 * slope))
 
 
-def curriculum_mix(docs: DataFrame, *, most: int = MOST, slopes=SLOPES) -> DataFrame:
+def curriculum_mix(docs: DataFrame, *, most: int = MOST, slopes=SLOPES, tag: Column | None = None) -> DataFrame:
     """What the mix takes of each row of docs, and when.
 
     Returns doc_id, source, size, source_size, target, copies, taken, position
     (of the first copy; null where nothing is taken), start (words of the source
     before it) and slope, one row for each input row.  Each source gives whole
-    passes over its documents and then, in the order of a digest of their ids,
-    words up to its target; the document at the boundary is taken in part.  A
-    source's taken words are its target, rounded.  Null text has size 0, null
-    sources are one source, the last; a null id is ordered by the digest of the
-    empty string.  Ties of the order are broken by id and size, so reruns agree;
-    rows equal in all of these can stand for each other.  An empty table gives an
-    empty result.  Columns of docs beside doc_id, source and text do not matter.
+    passes over its documents and then, in the order of a digest of their ids and
+    texts, words up to its target; the document at the boundary is taken in part.
+    A source's taken words are its target, rounded.  Null text has size 0, null
+    sources are one source, the last.  Rows of one id, or of none, are spread by
+    their texts.  Rows equal in id, source and text are counted before they are
+    ordered, so a row that repeats a million times is one row there; they follow
+    each other and can stand for each other.  With a tag, rows of other tags are
+    other rows, and the tag is returned.  An empty table gives an empty result.
+    Columns of docs beside doc_id, source and text do not matter.
     """
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), order.alias("rank")))
-    sources = stored(source_targets(rows, most=most, slopes=slopes))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), order.alias("rank"), (tag if tag is not None else F.lit(0).cast("long")).alias("tag"))
+    rows = stored(rows.groupBy("doc_id", "source", "size", "rank", "tag").agg(F.count(F.lit(1)).alias("n")))
+    sources = stored(source_targets(rows.withColumn("size", F.col("size") * F.col("n")), most=most, slopes=slopes))
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = stored(rows.withColumn("bucket", F.conv(F.substring("rank", 1, BUCKET_DIGITS), 16, 10).cast("int")))
-    sums = rows.groupBy("ord", "bucket").agg(F.sum("size").alias("words"))
+    whole = F.col("size") * F.col("n")
+    sums = rows.groupBy("ord", "bucket").agg(F.sum(whole).alias("words"))
     earlier = Window.partitionBy("ord").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = stored(sums.select("ord", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base")))
     rows = rows.join(sums, ["ord", "bucket"])
-    inside = Window.partitionBy("ord", "bucket").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
+    inside = Window.partitionBy("ord", "bucket").orderBy("rank", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("first", F.col("base") + F.sum(whole).over(inside) - whole)
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("start", F.col("first") + F.col("at") * F.col("size"))
     some = F.col("source_size") > 0
     passes = F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     extra = F.round(F.col("target")).cast("long") - passes * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), extra - F.col("start")))
     rows = rows.withColumn("taken", passes * F.col("size") + part).withColumn("copies", F.when(F.col("taken") > 0, passes + (part > 0).cast("long")).otherwise(0))
     fraction = F.when(F.col("taken") > 0, F.col("start") / F.col("target"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", position(fraction, F.col("slope")).alias("position"), "start", "slope")
+    extra_columns = ["tag"] if tag is not None else []
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", position(fraction, F.col("slope")).alias("position"), "start", "slope", *extra_columns)
 
 
 def training_order(mix: DataFrame, *, ranked: bool = True) -> DataFrame:
@@ -112,7 +119,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS rank
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS rank
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ord
@@ -129,7 +136,7 @@ t AS (
   FROM w),
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
-         CAST(sum(d.size) OVER (PARTITION BY t.ord ORDER BY d.rank, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start,
+         CAST(sum(d.size) OVER (PARTITION BY t.ord ORDER BY d.rank ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS passes
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (
