@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, MULT, batch, crc_mod5, pieces, slabs, texts, words
+from .common import MULT, _IS_SPACE, batch, crc_mod5, frugal, pieces, slabs, texts, words
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -85,14 +85,16 @@ def sample_features(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMP
     """Label, buckets and their counts for a bounded sample, in an order that does not change.
 
     Rows without label, and those of the held-out fifth, are never in it.  Where
-    an id has several labels the mean decides.  The sample takes per_class rows of
-    each class with the least digests of their ids.
+    an id has several labels the mean decides, where it has several texts the least.
+    The sample takes per_class ids of each class, those of the least digests.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().filter(crc_mod5(F.col("doc_id")) != 0)
     ids = ids.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label")).withColumn("rank", F.md5(F.col("doc_id").cast("string").cast("binary")))
     ids = [ids.filter(F.col("label") == k).orderBy("rank", "doc_id").limit(per_class) for k in (0, 1)]
     wanted = F.broadcast(ids[0].unionByName(ids[1]).select("doc_id", "label", "rank"))  # at most 2 * per_class rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("rank", "label", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    # of rows that share an id one is taken, so the sample is bounded before it is sent to the driver
+    rows = rows.groupBy("doc_id", "rank", "label").agg(F.min("text").alias("text")).select("rank", "label", "text")
     schema = pa.schema([("rank", pa.string()), ("label", pa.int32()), ("bucket", pa.binary()), ("count", pa.binary())])
 
     def run(batches):
@@ -107,10 +109,8 @@ def sample_features(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMP
                 out.append((used.astype("<u2").tobytes(), seen[used].astype("<f4").tobytes()))
             yield batch(schema, b.column(0), b.column(1), [o[0] for o in out], [o[1] for o in out])
 
-    found = rows.mapInArrow(run, "rank string, label int, bucket binary, count binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["rank"], r["bucket"], r["count"]))
-    # rows that repeat an id are few among the sampled; the bound holds for them too
-    found = found[: 2 * per_class]
+    found = rows.mapInArrow(frugal(run), "rank string, label int, bucket binary, count binary").toArrow().to_pylist()
+    found.sort(key=lambda r: r["rank"])
     return [(r["label"], np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["count"], "<f4")) for r in found]
 
 
@@ -169,22 +169,35 @@ def score(docs: DataFrame, model: SubwordModel, *, threshold: float = THRESHOLD)
         for b in (p for b in batches for p in pieces(b, 1)):
             yield batch(schema, b.column(0), sent.value.scores(texts(b.column(1))))
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), "doc_id long, score double")
     held = F.coalesce(crc_mod5(F.col("doc_id")) == 0, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: SubwordModel, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with a score of at least threshold, with all their columns."""
+    """The rows of docs with a score of at least threshold, with all their columns, whatever their names.
+
+    A null or empty text gets the score of a document without features.  Repeated
+    rows all stay or all go; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in (p for b in batches for p in pieces(b, at)):
-            yield b.filter(pa.array(sent.value.scores(texts(b.column(at))) >= threshold))
+        for b in batches:
+            both = pa.RecordBatch.from_arrays([b.column(0).field(at), b.column(0)], names=["text", "row"])
+            for p in pieces(both, 0):
+                keep = sent.value.scores(texts(p.column(0))) >= threshold
+                yield p.select(["row"]).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(frugal(run), rows.schema).select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs, by a model fitted on labels outside the held-out fifth.
+
+    Nulls, empty texts, repeated rows and empty tables are as for score; without
+    labels of both classes all scores are alike.
+    """
     return score(docs, fit(docs, labels))
