@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, frugal
 
 #: Bytes up to which a word is scanned; longer ones use a heap.
 SHORT = 63
@@ -53,6 +53,8 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        if max(self.vocab.values()) >= 1 << 16:
+            raise ValueError("pairs of ids are packed into 32 bits, so a vocabulary must have fewer than 65,536 entries")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name = {i: t for t, i in (self.vocab | self.special).items()}
         self.names = np.array([self.name.get(i) for i in range(max(self.name) + 1)], object)
@@ -271,7 +273,7 @@ def bpe_codes(docs: DataFrame, path: str) -> DataFrame:
                 part = b.slice(at, 512)
                 yield batch(schema, part.column(0), *coder.rows([t or "" for t in part.column(1).to_pylist()]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:

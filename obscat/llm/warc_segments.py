@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, scratch, stored
+from .common import batch, frugal, scratch, stored
 
 #: Largest block of one record, largest chunk of the transfer framing, records of one archive file.
 SEGMENT, CHUNK, RECORDS_PER_FILE = 16 << 10, 4 << 10, 1000
@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, path: str, *, segment: int = SEGMENT, recor
                     out, size = [], 0
             yield batch(schema, out)
 
-    lines = pages.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = pages.mapInArrow(frugal(run), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -156,7 +156,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield batch(schema, *map(list, zip(*out)))
 
     # part files only: what a committer leaves beside them is no archive
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, _RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(frugal(run), _RECORD)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def reassembled(records: DataFrame) -> DataFrame:
                 yield batch(schema, *map(list, zip(*out)))
 
     names = ["kind", "page_id", "refers_to", "digest", "payload_bytes", "numbers", "total", "blocks"]
-    return single.select(names).unionByName(parts.select(names)).mapInArrow(run, "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, problem string")
+    return single.select(names).unionByName(parts.select(names)).mapInArrow(frugal(run), "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, problem string")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
