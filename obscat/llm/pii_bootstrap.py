@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, stored
+from .common import batch, frugal, passing, stored, stored_by
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Rounds over the graph, and what a context must have to discover: mean score, distinct fillers.
@@ -40,7 +40,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
-_SECRET = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}")
+_SECRET = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}|(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{32,}")
 _EDGE = "\"'`.,;:!?()[]{}<>|*"
 
 
@@ -117,12 +117,12 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-_ROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("base", pa.list_(_SPAN)), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("filler", pa.string()), ("contexts", pa.list_(pa.string()))])
-_COLUMNS = "row long, doc_id long, base array<struct<kind:int,start:long,end:long>>, start long, end long, kind int, filler string, contexts array<string>"
+_ROW = pa.schema([("part", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("base", pa.list_(_SPAN)), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("filler", pa.string()), ("contexts", pa.list_(pa.string()))])
+_COLUMNS = "part string, row long, doc_id long, base array<struct<kind:int,start:long,end:long>>, start long, end long, kind int, filler string, contexts array<string>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row with base spans for each document, and a row for each occurrence (base null)."""
+    """Rows of two kinds: base spans of each document, and occurrences of seeds and candidates."""
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
@@ -137,12 +137,12 @@ def scan(docs: DataFrame) -> DataFrame:
                     occ += [(row, *o) for o in occurrences(text or "", base)]
                     row += 1
                 n = len(rows)
-                yield batch(_ROW, rows, part.column(0), bases, *(pa.nulls(n, f.type) for f in list(_ROW)[3:]))
+                yield batch(_ROW, ["document"] * n, rows, part.column(0), bases, *(pa.nulls(n, f.type) for f in list(_ROW)[4:]))
                 if occ:
                     r, s, e, k, w, c = map(list, zip(*occ))
-                    yield batch(_ROW, r, pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.list_(_SPAN)), s, e, k, w, c)
+                    yield batch(_ROW, ["occurrence"] * len(r), r, pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.list_(_SPAN)), s, e, k, w, c)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), _COLUMNS)
 
 
 def confident_contexts(occurring: DataFrame, *, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
@@ -172,20 +172,45 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every row's text.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (of the fixed patterns),
-    base_sha256, spans and n_found (spans that contexts added).  A null text is
-    empty; repeated rows each have their own row, as have rows without id.  An
-    empty table gives an empty result; other columns do not matter.
+    base_sha256, spans, n_found (spans that contexts discovered), n_secret
+    (key-like strings) and n_spans (all).  A null text is empty; repeated rows each
+    have their own row, as have rows without id.  An empty table gives an empty
+    result; other columns do not matter.
     """
-    rows = stored(scan(docs))
-    occ = stored(rows.filter("base IS NULL").select("row", "start", "end", "kind", "filler", F.explode("contexts").alias("context")))
-    contexts = stored(confident_contexts(occ.select("context", "filler", "kind")))
-    # base spans are in the result anyway
-    open_ = occ.filter("kind IS NULL OR kind = 4").select("row", "start", "end", "context")
-    found = open_.join(contexts, "context").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    added = stored(found.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")))
-    out = rows.filter("base IS NOT NULL").select("row", "doc_id", "base").join(added, "row", "left")
+    with passing(docs.sparkSession) as keep:
+        documents, occ = stored_by(scan(docs), "part", ("document", "occurrence"))
+        rows = keep(documents)
+        contexts = stored(confident_contexts(occ.select("kind", "filler", F.explode("contexts").alias("context"))))
+        # base spans and secrets are in the result anyway
+        open_ = occ.filter("kind IS NULL").select("row", "start", "end", F.explode("contexts").alias("context"))
+        found = open_.join(contexts, "context").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        found = found.withColumn("found", F.lit(True)).unionByName(occ.filter("kind = 4").select("row", "start", "end", "kind", F.lit(False).alias("found")))
+        added = keep(stored(found.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "found")).alias("added"))))
+    out = rows.select("row", "doc_id", "base").join(added, "row", "left")
     names = F.array(*map(F.lit, KINDS))
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    more = F.coalesce(F.col("added"), F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))
-    return out.select("doc_id", *map(count, range(4)), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", more))).alias("spans"), F.size(more).cast("long").alias("n_found"))
+    more = F.coalesce(F.col("added"), F.array().cast("array<struct<kind:int,start:bigint,end:bigint,found:boolean>>"))
+    every = F.array_sort(F.concat("base", F.transform(more, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
+    among = lambda name, holds: F.size(F.filter(more, holds)).cast("long").alias(name)
+    return out.select(
+        "doc_id", *map(count, range(4)), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"),
+        among("n_found", lambda s: s["found"]), among("n_secret", lambda s: s["kind"] == 4), F.size(every).cast("long").alias("n_spans"),
+    )
+
+
+def hidden_recall(docs: DataFrame, *, share: int = 5) -> DataFrame:
+    """kind, hidden, found: how many occurrences of seeds contexts bring back when one in share of the seeds is hidden.
+
+    A hidden seed is treated as an unknown candidate wherever it occurs, and must be
+    given its own kind again.
+    """
+    _, occ = stored_by(scan(docs), "part", ("document", "occurrence"))
+    hide = F.col("kind").isNotNull() & (F.pmod(F.xxhash64("filler"), F.lit(share)) == 0)
+    occ = occ.select("row", "start", "end", "filler", "contexts", F.col("kind").alias("truth"), hide.alias("hidden"), F.when(~hide, F.col("kind")).alias("kind"))
+    edges = occ.select("row", "start", "end", "truth", "hidden", "kind", "filler", F.explode("contexts").alias("context"))
+    contexts = stored(confident_contexts(edges.select("context", "filler", "kind"))).withColumnRenamed("kind", "told")
+    told = edges.filter("hidden").join(contexts, "context").groupBy("row", "start", "end").agg(F.max_by("told", F.struct("score", "told")).alias("told"))
+    names = F.array(*map(F.lit, KINDS))
+    asked = occ.filter("hidden").join(told, ["row", "start", "end"], "left")
+    return asked.groupBy(F.element_at(names, F.col("truth") + 1).alias("kind")).agg(F.count(F.lit(1)).alias("hidden"), F.count_if(F.col("told") == F.col("truth")).alias("found"))
