@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obscat.llm import curriculum_mix, exact_fingerprint, partenum_join, rank_bpe, subword_quality
-from obscat.llm.common import ascii_lower, shards, stored, table
+from obscat.llm.common import ascii_lower, let_go, passing, shards, stored, table
+from obscat.llm.rows import same_row, without
 
 #: Near duplicates: shingles of five words, Jaccard similarity of at least 0.8.
 NEAR_WORDS, NEAR_SIMILAR = 5, (80, 100)
@@ -22,47 +23,47 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the greatest id.
-
-    A repeated row stays once.  Only the ids of rows that go are joined to the
-    documents, and a text's digest is taken only where an id matches.
-    """
-    found = exact_fingerprint.exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    found = stored(found.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
-    sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    same = docs["doc_id"].eqNullSafe(found["_id"]) & (sha == found["_sha"])
-    out = docs.join(found, same, "left_anti")
-    repeated = found.filter("kept")
-    if repeated.limit(1).count():
-        once = docs.join(repeated, same, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-        out = out.unionByName(once)
-    return out
+    """One document of each group of equal texts, that with the greatest id; a repeated row stays once."""
+    with passing(spark) as keep:
+        found = exact_fingerprint.exact_dedup(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+        found = found.agg(F.max("kept").alias("once"), F.count(F.lit(1)).alias("n"))
+        decided = keep(stored(found.filter("NOT once OR n > 1").drop("n")))
+    return without(docs, decided, lambda text: F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicate links, that with the smallest id.
-
-    Documents are told apart by id: of rows that share one, all stay if one does.
-    """
-    found = partenum_join.similar_documents(docs, n=NEAR_WORDS, similar=NEAR_SIMILAR)
-    goes = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = stored(found.groupBy(F.col("doc_id").alias("_id")).agg(F.min(goes).alias("goes")).filter("goes").select("_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    """One row of each component of near-duplicate links: the smallest id, null ids last, and of equal ids the least digest."""
+    with passing(spark) as keep:
+        found = partenum_join.similar_documents(docs, n=NEAR_WORDS, similar=NEAR_SIMILAR).filter("label IS NOT NULL")
+        members = stored(found.groupBy("label", F.col("doc_id").alias("id"), F.col("text_hash").alias("digest")).agg(F.count(F.lit(1)).alias("n")))
+        place = F.struct(F.col("id").isNull().alias("last"), "id", "digest")
+        first = stored(members.groupBy("label").agg(F.min(place).alias("stays"), F.sum("n").alias("rows")).filter("rows > 1").select("label", "stays"))
+        decided = members.join(first, "label").select("id", "digest", "n", place.eqNullSafe(F.col("stays")).alias("once"))
+        decided = keep(stored(decided.filter("NOT once OR n > 1").drop("n")))
+    return without(docs, decided, F.xxhash64)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each copy, range-sorted by training position.
 
-    Positions fill [0, 1] evenly, so their ranges need no sampling.  Of rows that
-    share an id, each is taken as the one that is taken most often.
+    Rows are told apart by id and a digest of all their columns; rows equal in both
+    are one row that is taken for all of them.  Positions fill [0, 1] evenly, so
+    their ranges need no sampling.
     """
-    order = curriculum_mix.training_order(curriculum_mix.curriculum_mix(docs), ranked=False)
-    order = order.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.min("position").alias("_at"))
-    order = stored(order)
+    digest = F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns))
+    with passing(spark) as keep:
+        mix = stored(curriculum_mix.curriculum_mix(docs, tag=digest))
+        order = curriculum_mix.training_order(mix, ranked=False).select(F.col("doc_id").alias("id"), F.col("tag").alias("digest"), "position", "copy")
+        order = keep(stored(order))
+        many = keep(stored(mix.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("digest")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("digest"))
+    if many.limit(1).count():
+        once = rows.join(many, same_row(rows, many), "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
+        rows = rows.join(many, same_row(rows, many), "left_anti").unionByName(once)
     parts = shards(spark)
-    placed = docs.join(order, docs["doc_id"].eqNullSafe(order["_id"]))
-    part = F.least(F.floor(F.col("_at") * parts), F.lit(parts - 1)).cast("int")
-    return placed.repartitionById(parts, part).sortWithinPartitions("_at", "_id", "_copy").select(*[docs[c] for c in docs.columns])
+    placed = rows.join(order, same_row(rows, order)).select("row", order["id"], "position", "copy")
+    part = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("position", "id", "copy").select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +85,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents through all stages; each result is written before the next stage reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with passing(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir)))
+        if before is not None:
+            let_go(before)
+        before = docs
     return docs
