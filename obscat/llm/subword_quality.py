@@ -35,29 +35,37 @@ _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _DOWN = np.uint32(32 - BITS)
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the place of each one's first byte; of bytes that are no UTF-8 each is a character."""
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    except UnicodeDecodeError:
+        return data.astype(np.uint32), np.arange(len(data))
+    return points, np.flatnonzero((data & 0xC0) != 0x80)
+
+
 def features(data: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows and buckets of a slab's features: words, word pairs, and n-grams of 3 and 5 bytes.
+    """Rows and buckets of a slab's features: words, word pairs, and n-grams of 3 and 5 characters.
 
     An n-gram may begin or end at a space, which marks a word's edge, but has none
     inside.  A pair hashes to the exclusive or of its words' hashes, so that a word
     that is repeated at once is one and the same feature, whatever the word.
     """
-    n = len(data)
     rows = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
     starts, _, hashes = words(data)
     first = rows[starts]
     out = [(first, (hashes >> np.uint64(64 - BITS)).astype(np.uint32))]
     pairs = MULT * (hashes[1:] ^ hashes[:-1])[first[1:] == first[:-1]]
     out.append((first[:-1][first[1:] == first[:-1]], (pairs >> np.uint64(64 - BITS)).astype(np.uint32)))
-    space = _IS_SPACE[data]
-    wide = data.astype(np.uint32)
+    points, place = characters(data)
+    space, rows, n = _IS_SPACE[data[place]], rows[place], len(points)
     if n >= 3:
-        three = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)
+        three = points[:-2] * _A ^ points[1:-1] * _B ^ points[2:] * _C
         at = np.flatnonzero(~space[1:-1] & (rows[2:] == rows[:-2]))
         out.append((rows[at], (three[at] * _A) >> _DOWN))
         if n >= 5:
             at = np.flatnonzero(~(space[1:-3] | space[2:-2] | space[3:-1]) & (rows[4:] == rows[:-4]))
-            five = three[at] * _B ^ (wide[at + 3] | wide[at + 4] << np.uint32(8)) * _C
+            five = three[at] * _B ^ (points[at + 3] * _C + points[at + 4]) * _A
             out.append((rows[at], (five * _A) >> _DOWN))
     return out
 
