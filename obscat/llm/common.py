@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -35,8 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _scratch: dict[int, str] = {}
-#: Tables stored since each open ``passing`` began, the innermost last.
-_open: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """Tables that this thread has stored since each open ``passing`` began, the innermost last."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = []
+
+
+_open = _Open()
 #: Makes Spark remove a query's shuffle files when the query ends, not when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -84,8 +93,8 @@ def _written(df: DataFrame, *parts: str) -> str:
         (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    if _open:
-        _open[-1].append(path)
+    if _open.stack:
+        _open.stack[-1].append(path)
     return path
 
 
@@ -128,7 +137,7 @@ def let_go(*tables: DataFrame) -> None:
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that are stored within the block go at its end, but for those given to what it yields."""
-    _open.append([])
+    _open.stack.append([])
     kept: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -138,10 +147,10 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        for path in _open.pop():
+        for path in _open.stack.pop():
             if any(k.startswith(path) for k in kept):
-                if _open:
-                    _open[-1].append(path)
+                if _open.stack:
+                    _open.stack[-1].append(path)
             else:
                 _delete(spark, path)
 
