@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through five operators, each stage written and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before
-it kept; all but the last return the columns of documents.
+it kept; all but the last return the columns of documents.  Executors begin each
+stage without what the one before it made their Java heaps grow to.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obscat.llm import curriculum_mix, exact_fingerprint, partenum_join, rank_bpe, subword_quality
-from obscat.llm.common import ascii_lower, let_go, passing, shards, stored, table
+from obscat.llm.common import ascii_lower, let_go, passing, shards, shrink, stored, table
 from obscat.llm.rows import same_row, without
 
 #: Near duplicates: shingles of five words, Jaccard similarity of at least 0.8.
@@ -19,11 +20,13 @@ NEAR_WORDS, NEAR_SIMILAR = 5, (80, 100)
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it is trained on labels."""
+    shrink(spark)
     return subword_quality.keep_good(docs, subword_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the greatest id; a repeated row stays once."""
+    shrink(spark)
     with passing(spark) as keep:
         found = exact_fingerprint.exact_dedup(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
         found = found.agg(F.max("kept").alias("once"), F.count(F.lit(1)).alias("n"))
@@ -33,6 +36,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicate links: the smallest id, null ids last, and of equal ids the least digest."""
+    shrink(spark)
     with passing(spark) as keep:
         found = partenum_join.similar_documents(docs, n=NEAR_WORDS, similar=NEAR_SIMILAR).filter("label IS NOT NULL")
         members = stored(found.groupBy("label", F.col("doc_id").alias("id"), F.col("text_hash").alias("digest")).agg(F.count(F.lit(1)).alias("n")))
@@ -50,6 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are one row that is taken for all of them.  Positions fill [0, 1] evenly, so
     their ranges need no sampling.
     """
+    shrink(spark)
     digest = F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns))
     with passing(spark) as keep:
         mix = stored(curriculum_mix.curriculum_mix(docs, tag=digest))
@@ -68,6 +73,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and decoded text."""
+    shrink(spark)
     return rank_bpe.bpe_digests(docs, rank_bpe.vocabulary("word_bpe_49k.json"))
 
 

@@ -48,6 +48,10 @@ class _Open(threading.local):
 _open = _Open()
 #: Makes Spark remove a query's shuffle files when the query ends, not when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Scratch files of a local path have no side file of checksums: Hadoop starts a chmod for every file and folder that it
+#: makes there, and each is a copy of the executor until it runs.  The pages' own checksums are verified instead.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+_VERIFY = "parquet.page.verify-checksum.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -90,7 +94,8 @@ def _written(df: DataFrame, *parts: str) -> str:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+        writer = df.write.options(**_PLAIN)
+        (writer.partitionBy(*parts) if parts else writer).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     if _open.stack:
@@ -99,7 +104,7 @@ def _written(df: DataFrame, *parts: str) -> str:
 
 
 def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).option(_VERIFY, "true").parquet(path)
     out._stored_at = path
     return out
 
@@ -155,6 +160,17 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _delete(spark, path)
 
 
+def shrink(spark: SparkSession) -> None:
+    """Collect the executors' Java heaps, one small task for each, so that they return what they no longer hold.
+
+    A heap keeps the size that its busiest moment made it grow to until a whole
+    collection, which a long run of short-lived objects may never bring about; the
+    Python workers beside it and later stages then have to do with the rest.
+    """
+    n = max(1, len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1)  # the driver is one of them
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def shards(spark: SparkSession) -> int:
     """Number of key ranges for keyed exchanges, as the cluster is tuned."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -177,10 +193,26 @@ def give_back() -> None:
         trim(0)
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run for mapInArrow, with freed memory returned at the end of each task."""
+#: What a worker keeps from task to task, by the kind of task that uses it.
+_held: dict[str, dict] = {}
+
+
+def held(kind: str) -> dict:
+    """What this worker keeps for tasks of a kind, until a task of another kind begins."""
+    return _held.setdefault(kind, {})
+
+
+def drop_others(kind: str = "") -> None:
+    """Let go what this worker keeps for tasks of other kinds."""
+    for k in [k for k in _held if k != kind]:
+        del _held[k]
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str = ""):
+    """run for mapInArrow, without what tasks of other kinds kept, and with freed memory returned at the end of each task."""
 
     def whole(batches):
+        drop_others(kind)
         yield from run(batches)
         give_back()
 
@@ -188,9 +220,10 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 
 
 def frugal_group(merge: Callable[[pa.Table], pa.Table]):
-    """merge for applyInArrow, with freed memory returned after each group."""
+    """merge for applyInArrow, without what tasks of other kinds kept, and with freed memory returned after each group."""
 
     def whole(found):
+        drop_others()
         out = merge(found)
         del found
         give_back()

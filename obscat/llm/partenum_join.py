@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, MULT, batch, frugal, frugal_group, key_filter, let_go, mix64, pack, pack_columns, passing, pieces, shards, slabs, stored, stored_by, texts, unpack, unpack_columns, words
+from .common import KeyFilter, MULT, batch, frugal, frugal_group, key_filter, let_go, mix64, pack, pack_columns, passing, pieces, shards, shrink, slabs, stored, stored_by, texts, unpack, unpack_columns, words
 from .components import components, joined
 
 WORDS = 4
@@ -436,6 +436,7 @@ def similar_classes(docs: DataFrame, entries: DataFrame, classes: DataFrame, *,
     num, den = similar
     live = stored(shared_entries(entries))
     let_go(entries)
+    shrink(docs.sparkSession)
     k = F.floor(F.col("n") * (den - num) / num)
     each = F.explode(F.array(F.struct(F.col("band"), "cells"), F.struct((F.col("band") + 1).alias("band"), F.col("next_cells").alias("cells"))))
     signing = classes.select("cls", "rep", "n", k.alias("k"), each.alias("x")).select("cls", "rep", "n", "k", "x.*")
@@ -455,6 +456,7 @@ def similar_classes(docs: DataFrame, entries: DataFrame, classes: DataFrame, *,
     buckets = stored(buckets.filter("low <> top AND centre.home").select("sig", "centre.a"))
     members = stored(signed.join(buckets, "sig").select("sig", "cls", "band", "home", "n", "cells", "a"))
     let_go(signed, buckets)
+    shrink(docs.sparkSession)
     held = stored(members.groupBy("cls", "band", "n", "cells").agg(F.collect_list("sig").alias("sigs")))
 
     # one pair for each member of a bucket
@@ -464,6 +466,7 @@ def similar_classes(docs: DataFrame, entries: DataFrame, classes: DataFrame, *,
     links = stored(verified(docs, classes, likely, similar, n=n))
     labels = stored(components(links))
     let_go(likely, links)
+    shrink(docs.sparkSession)
 
     # pairs across components: of small buckets all, of large ones those that differ alike from the centre
     names = labels.select(F.col("node").alias("cls"), "label")
@@ -487,6 +490,7 @@ def similar_classes(docs: DataFrame, entries: DataFrame, classes: DataFrame, *,
         likely.append(stored(shared_enough(across, held, similar).distinct()))
         let_go(class_text, across)
     let_go(met, held)
+    shrink(docs.sparkSession)
     more = stored(verified(docs, classes, reduce(DataFrame.unionByName, likely).distinct(), similar, n=n))
     let_go(*likely)
     return stored(joined(labels, more)) if more.limit(1).count() else labels
@@ -507,6 +511,7 @@ def similar_documents(docs: DataFrame, *, n: int = WORDS, similar=SIMILAR) -> Da
     bands = Bands(similar)
     with passing(docs.sparkSession) as keep:
         first, entries = stored_by(first_pass(docs, n=n, bands=bands, parts=2 * shards(docs.sparkSession)), "kind", ("doc", "entry"))
+        shrink(docs.sparkSession)
         rows = keep(first).select("doc_id", "text_hash", "n", "cls", "band", "cells", "next_cells")
         classes = stored(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.max(c).alias(c) for c in ("n", "band", "cells", "next_cells"))))
         labels = similar_classes(docs, entries, classes, n=n, similar=similar, bands=bands)

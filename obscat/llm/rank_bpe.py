@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, frugal
+from .common import batch, frugal, held
 
 #: Bytes up to which a word is scanned; longer ones use a heap.
 SHORT = 63
@@ -247,14 +247,15 @@ class WordBpe:
         return [sum(r[0] for r in c) for c in coded], ids, [*map(self.decode_packed, ids)]
 
 
-_loaded: dict[str, WordBpe] = {}
+_KIND = "rank_bpe"
 
 
 def loaded(path: str) -> WordBpe:
-    """One coder per worker and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    """One coder per worker and vocabulary, kept until the worker has a task of another kind."""
+    coders = held(_KIND)
+    if path not in coders:
+        coders[path] = WordBpe(path)
+    return coders[path]
 
 
 def bpe_codes(docs: DataFrame, path: str) -> DataFrame:
@@ -273,7 +274,7 @@ def bpe_codes(docs: DataFrame, path: str) -> DataFrame:
                 part = b.slice(at, 512)
                 yield batch(schema, part.column(0), *coder.rows([t or "" for t in part.column(1).to_pylist()]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run, _KIND), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
